@@ -1,0 +1,32 @@
+"""The pN_ queries of this subpackage."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodeflow.llm import format_dups
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_dups.format_duplicate_pairs(_t(spark, sf_dir, "pretrain_t2t"))
+
+
+def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_dups.collapse_format_duplicates(_t(spark, sf_dir, "pretrain_t2t"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "p4_found": p4_found,
+        "p4_copies": p4_copies,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
