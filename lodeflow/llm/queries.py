@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeflow.llm import format_dups
+from lodeflow.llm import encode, format_dups, near_dups
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near_dups.near_duplicate_pairs(_t(spark, sf_dir, "pretrain_t2t"))
+    return pairs.selectExpr("a AS row_id_a", "b AS row_id_b")
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode_corpus(_t(spark, sf_dir, "documents"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.format_duplicate_pairs(_t(spark, sf_dir, "pretrain_t2t"))
 
@@ -23,8 +32,10 @@ def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p4_found": p4_found,
         "p4_copies": p4_copies,
+        "p6_ids": p6_ids,
     }
 
 
