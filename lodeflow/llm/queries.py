@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeflow.llm import encode, format_dups, near_dups
+from lodeflow.llm import encode, format_dups, leakage, near_dups
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +30,18 @@ def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.collapse_format_duplicates(_t(spark, sf_dir, "pretrain_t2t"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaked_items(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p4_found": p4_found,
         "p4_copies": p4_copies,
         "p6_ids": p6_ids,
+        "p7_found": p7_found,
     }
 
 
