@@ -18,7 +18,7 @@ from lodeflow.operators.batches import code_points
 
 #: A label is a letter and at most 15 letters, digits, blanks, hyphens or underscores; a Chinese one has at most 6 signs.
 LABEL = regex.compile(r"[^\p{L}\p{N}]*(\p{Han}{1,6}|(?!\p{Han})\p{L}[\p{L}\p{N} _-]{0,15}?)[^\p{L}\p{N}:：]*[:：]")
-_BREAKS = regex.compile(r"[\r\n\x0b\x0c\x85  ]+")
+_BREAKS = regex.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 _OBJECT = regex.compile(r"[^\p{L}\p{N}{]*(\{.*\})[^\p{L}\p{N}}]*", regex.DOTALL)
 _INVISIBLE = regex.compile(r"[\p{Cc}\p{Cf}]+")
 _OTHER = regex.compile(r"[^\p{L}\p{N}]+")

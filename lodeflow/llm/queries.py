@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeflow.llm import encode, format_dups, leakage, near_dups
+from lodeflow.llm import encode, format_dups, leakage, near_dups, quality
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(_t(spark, sf_dir, "documents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(_t(spark, sf_dir, "pretrain_t2t"))
+
+
+def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_texts(_t(spark, sf_dir, "pretrain_t2t"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.format_duplicate_pairs(_t(spark, sf_dir, "pretrain_t2t"))
 
@@ -38,6 +46,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p2_scores": p2_scores,
         "p4_found": p4_found,
         "p4_copies": p4_copies,
         "p6_ids": p6_ids,
