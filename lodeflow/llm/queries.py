@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeflow.llm import encode, format_dups, leakage, near_dups, quality
+from lodeflow.llm import encode, format_dups, leakage, near_dups, pair_defects, quality
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_texts(_t(spark, sf_dir, "pretrain_t2t"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = [(_t(spark, sf_dir, "sft_t2t_mini"), "conv_id", ["conversations"]), (_t(spark, sf_dir, "dpo"), "pair_id", ["chosen", "rejected"])]
+    return pair_defects.defective_answers(sources)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.format_duplicate_pairs(_t(spark, sf_dir, "pretrain_t2t"))
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_scores": p2_scores,
+        "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_copies": p4_copies,
         "p6_ids": p6_ids,
