@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeflow.llm import encode, format_dups, leakage, near_dups, pair_defects, quality
+from lodeflow.llm import encode, format_dups, leakage, near_dups, pair_defects, quality, subjects
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_areas(*(_t(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_copies": p4_copies,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
+        "p8_found": p8_found,
     }
 
 
