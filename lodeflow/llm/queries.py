@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeflow.llm import encode, format_dups, leakage, near_dups, pair_defects, quality, subjects
+from lodeflow.llm import containers, encode, format_dups, leakage, near_dups, pair_defects, quality, subjects
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.selectExpr("a AS row_id_a", "b AS row_id_b")
 
 
+def _packed_texts(capacity: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        items = containers.text_lengths(_t(spark, sf_dir, "pretrain_t2t"), "row_id")
+        return containers.pack_items(items, capacity).withColumnRenamed("id", "row_id")
+
+    return run
+
+
+def _packed_conversations(capacity: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        items = containers.conversation_lengths(_t(spark, sf_dir, "sft_t2t_mini"), "conv_id")
+        return containers.pack_items(items, capacity).withColumnRenamed("id", "conv_id")
+
+    return run
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(_t(spark, sf_dir, "documents"))
 
@@ -60,6 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_copies": p4_copies,
+        "p5_texts_4096": _packed_texts(4096),
+        "p5_texts_8192": _packed_texts(8192),
+        "p5_conversations_4096": _packed_conversations(4096),
+        "p5_conversations_8192": _packed_conversations(8192),
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p8_found": p8_found,
