@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.ml.fpm import FPGrowth
@@ -41,7 +42,7 @@ CONFIDENCE, SURER = 0.6, 0.02
 SHARE, SHARES = 0.2, (0.14, 0.25)
 _SENTENCE = regex.compile(r"[。！？!?\n\r]+|\.(?=\s|$)")
 _RUNS = regex.compile(r"\p{Han}+|[^\W\d_\p{Han}]+(?:['’-][^\W\d_\p{Han}]+)*", regex.V1)
-_VISIBLE = regex.compile(r"\S")
+_WORD = regex.compile(r"[^\W\d_\p{Han}]+(?:['’-][^\W\d_\p{Han}]+)*", regex.V1)
 _LONGEST, _HAN = 5, regex.compile(r"\p{Han}")
 _MARK = "="  # in front of a subject among the items
 
@@ -67,30 +68,68 @@ def all_terms(sentence: str) -> set[str]:
     return out
 
 
-def cut_terms(sentence: str, terms: frozenset[str] | dict) -> set[str]:
-    """The known terms of a sentence that don't overlap, from the left, the longest first."""
-    out: set[str] = set()
-    runs = _runs(sentence)
-    k = 0
-    while k < len(runs):
-        run = runs[k]
-        if _HAN.match(run):
-            at, end = 0, len(run) - 1
-            while at < end:
-                for n in range(_LONGEST, 1, -1):
-                    if run[at : at + n] in terms and at + n <= end + 1:
-                        out.add(run[at : at + n])
-                        at += n
-                        break
+class Cutter:
+    """Cuts texts into known terms: from the left, the longest first, without overlap. Chinese terms are found by one pass
+    of an automaton over the text, others word by word, pairs before single words."""
+
+    def __init__(self, terms: Iterable[str]) -> None:
+        self.signs = sorted(t for t in terms if _HAN.match(t))
+        self.words = frozenset(t for t in terms if not _HAN.match(t))
+        self._automaton = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_automaton": None}
+
+    @property
+    def automaton(self) -> ahocorasick.Automaton:
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for t in self.signs:
+                self._automaton.add_word(t, t)
+            self._automaton.make_automaton()
+        return self._automaton
+
+    def __call__(self, text: str) -> tuple[list[int], list[list[str]]]:
+        """(length in characters other than blanks, terms) of each sentence."""
+        low = text.lower()
+        ends, sizes, start = [], [], 0
+        for mark in _SENTENCE.finditer(low):
+            ends.append(mark.start())
+            sizes.append(mark.start() - start - low.count(" ", start, mark.start()))
+            start = mark.end()
+        ends.append(len(low))
+        sizes.append(len(low) - start - low.count(" ", start))
+        found: list[list[str]] = [[] for _ in ends]
+        if self.signs:
+            k = 0
+            for end, term in self.automaton.iter_long(low):
+                while end >= ends[k]:
+                    k += 1
+                found[k].append(term)
+        if self.words:
+            k, before = 0, None
+            words = self.words
+            for word in _WORD.finditer(low):
+                at = word.start()
+                if at >= ends[k]:
+                    if before is not None and before in words:
+                        found[k].append(before)
+                    before = None
+                    while at >= ends[k]:
+                        k += 1
+                w = word[0]
+                if before is None:
+                    before = w
+                elif (pair := f"{before} {w}") in words:
+                    found[k].append(pair)
+                    before = None
                 else:
-                    at += 1
-        elif k + 1 < len(runs) and (pair := f"{run} {runs[k + 1]}") in terms:
-            out.add(pair)
-            k += 1
-        elif run in terms:
-            out.add(run)
-        k += 1
-    return out
+                    if before in words:
+                        found[k].append(before)
+                    before = w
+            if before is not None and before in words:
+                found[k].append(before)
+        return sizes, found
 
 
 class Rules:
@@ -100,34 +139,34 @@ class Rules:
         self.single = {k[0]: v for k, v in rules.items() if len(k) == 1}
         self.pairs = {k: v for k, v in rules.items() if len(k) == 2}
         self.paired = {t for k in self.pairs for t in k}
-        self.terms = dict.fromkeys([*self.single, *self.paired], True)
+        self.cut = Cutter([*self.single, *self.paired])
         self.share = share
 
     def shares(self, text: str) -> dict[str, float]:
         """Share of the visible characters in sentences of each subject."""
         weight: Counter[str] = Counter()
-        total = 0
-        for sentence in _SENTENCE.split(text):
-            size = len(sentence) - sentence.count(" ")
-            if not size:
+        sizes, found = self.cut(text)
+        single, paired, pairs = self.single, self.paired, self.pairs
+        for size, terms in zip(sizes, found):
+            if not terms:
                 continue
-            total += size
-            found = cut_terms(sentence, self.terms)
             evidence: dict[str, float] = defaultdict(float)
-            for t in found:
-                for subject, w in self.single.get(t, ()):
+            own = set(terms)
+            for t in own:
+                for subject, w in single.get(t, ()):
                     evidence[subject] += w
-            some = sorted(t for t in found if t in self.paired)
+            some = sorted(own & paired)
             for i, a in enumerate(some):
                 for b in some[i + 1 :]:
-                    for subject, w in self.pairs.get((a, b), ()):
+                    for subject, w in pairs.get((a, b), ()):
                         evidence[subject] += w
             if evidence:
-                weight[min(evidence, key=lambda s: (-evidence[s], s))] += size
+                weight[min(evidence, key=lambda s: (-evidence[s], s)) if len(evidence) > 1 else next(iter(evidence))] += size
+        total = max(1, sum(sizes))
         return {s: n / total for s, n in weight.items()}
 
     def subjects(self, text: str | None) -> list[str]:
-        if not text or not text.strip() or not self.terms:
+        if not text or not text.strip() or not (self.single or self.pairs):
             return []
         found = sorted(s for s, v in self.shares(text).items() if v >= self.share)
         return [] if found and _may_be_junk(text) and larger_part(text) == "junk" else found
@@ -179,15 +218,13 @@ def fit_rules(labelled: DataFrame) -> Rules:
     terms = frozenset(r.term for r in frequent.select("term").collect())
     if not terms:
         return Rules({})
-    sent = spark.sparkContext.broadcast(terms)
+    sent = spark.sparkContext.broadcast(Cutter(terms))
 
     def transactions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, subject in zip(batch.column("text").to_pylist(), batch.column("subject").to_pylist()):
-                for sentence in _SENTENCE.split(text):
-                    if found := cut_terms(sentence, sent.value):
-                        out.append([*sorted(found), _MARK + subject])
+                out += [[*sorted(set(found)), _MARK + subject] for found in sent.value(text)[1] if found]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["items"])
 
     sentences = materialize(single.mapInArrow(transactions, "items ARRAY<STRING>"), "transactions")
