@@ -18,6 +18,8 @@ from lodeflow.operators.batches import code_points
 
 #: A label is a letter and at most 15 letters, digits, blanks, hyphens or underscores; a Chinese one has at most 6 signs.
 LABEL = regex.compile(r"[^\p{L}\p{N}]*(\p{Han}{1,6}|(?!\p{Han})\p{L}[\p{L}\p{N} _-]{0,15}?)[^\p{L}\p{N}:：]*[:：]")
+#: Labels that mark turns of a dialogue, whose order matters, beside those of one sign.
+SPEAKERS = {"user", "assistant", "system", "human", "用户", "助手", "系统"}
 _BREAKS = regex.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 _OBJECT = regex.compile(r"[^\p{L}\p{N}{]*(\{.*\})[^\p{L}\p{N}}]*", regex.DOTALL)
 _INVISIBLE = regex.compile(r"[\p{Cc}\p{Cf}]+")
@@ -63,7 +65,8 @@ def _fields_of_lines(text: str) -> list[tuple[str, str]] | None:
                 return None
             fields.append((found[1], line[found.end() :]))
     labels = {flat(k) for k, _ in fields}
-    return fields if len(fields) > 1 and len(labels) == len(fields) else None
+    whole = len(fields) > 1 and len(labels) == len(fields)
+    return fields if whole and not any(len(k) == 1 or k in SPEAKERS for k in labels) else None
 
 
 def labelled(text: str) -> str | None:

@@ -7,7 +7,7 @@ Canonical form of a text
 
 Defined results
     NULL, empty, blank and all-symbol texts have no canonical form and take no part, nor do rows without an id. A broken
-    JSON object is plain text. A dialogue that repeats its labels keeps its order. Rows that repeat id and text make no
+    JSON object is plain text. A dialogue keeps its order: labels that repeat, have one sign, or name a speaker. Rows that repeat id and text make no
     pair, as a pair has two ids. Other columns, whatever their names, are not read. An empty table gives no rows.
 """
 
