@@ -98,8 +98,11 @@ class Plan:
         total = sum(n for _, n in lengths)
         if not total:
             return
-        cuts = np.unique(np.linspace(0, total, min(GROUPS, total) + 1).round().astype(int))
         ends = np.cumsum([n for _, n in lengths])
+        if len(lengths) <= 2 * GROUPS:  # so few lengths need no rounding
+            cuts = np.concatenate(([0], ends))
+        else:
+            cuts = np.unique(np.linspace(0, total, min(GROUPS, total) + 1).round().astype(int))
         at = lambda rank: lengths[int(np.searchsorted(ends, rank, "right"))][0]
         # places of one group: ranks over all large items, longest first
         sizes = [at(int(c)) for c in cuts[:-1]]
