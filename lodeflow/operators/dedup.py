@@ -6,7 +6,6 @@ corpus.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,89 +107,58 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = np.asarray(batch.column("sig").flatten()).reshape(len(ids), HASHES)
         keys = np.zeros((len(ids), BANDS), np.uint64)
         for r in range(rows):
-            keys = mix64(keys + sig[:, r::rows].astype(np.uint64) + np.uint64(r + 1))
-        packed = [s.astype("<i4").tobytes() for s in sig]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(ids))),
-                pa.array(keys.view(np.int64).ravel()),
-                pa.array(np.repeat(ids, BANDS)),
-                pa.array([p for p in packed for _ in range(BANDS)], pa.binary()),
-            ],
-            ["band", "key", "id", "sig"],
-        )
-
-
-def _neighbours(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Compares neighbours of a sorted partition; its first and last row come out too, for the seams."""
-        before: tuple | None = None
-        first = None
-        rows = itertools.chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("band", "key", "id", "sig"))) for b in batches)
-        out: list[tuple] = []
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        for row in rows:
-            if first is None:
-                first = row
-            elif _alike(before, row, threshold):
-                out.append((row[2], None, None, None, None, None))
-            before = row
-            if len(out) >= 10_000:
-                yield _neighbour_batch(out)
-                out = []
-        if first is not None:
-            out.append((None, part, 0, *_seam(first)))
-            out.append((None, part, 1, *_seam(before)))
-        yield _neighbour_batch(out)
-
-    return run
+            keys = mix64(keys + sig[:, r * BANDS : (r + 1) * BANDS].astype(np.uint64) + np.uint64(r + 1))
+        bands = np.tile(np.arange(BANDS, dtype=np.int32), len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(ids, BANDS))], ["band", "key", "id"])
 
 
-def _alike(a: tuple, b: tuple, threshold: float) -> bool:
-    if a[0] != b[0] or a[1] != b[1]:
-        return False
-    x, y = np.frombuffer(a[3], "<i4"), np.frombuffer(b[3], "<i4")
-    return int((x == y).sum()) >= threshold * HASHES - 1e-9
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of neighbours of one bucket in a sorted partition; its first and last row come out too, for the seams."""
+    from pyspark import TaskContext
 
-
-def _seam(row: tuple) -> tuple[str, int, bytes]:
-    return f"{row[0]}/{row[1]}", row[2], row[3]
+    part, first, last = TaskContext.get().partitionId(), None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        band, key, ids = (np.asarray(batch.column(c)) for c in ("band", "key", "id"))
+        if last is not None:
+            band, key, ids = np.append(last[0], band), np.append(last[1], key), np.append(last[2], ids)
+        first = first or (band[0], key[0], ids[0])
+        last = (band[-1], key[-1], ids[-1])
+        same = np.flatnonzero((band[1:] == band[:-1]) & (key[1:] == key[:-1]))
+        n = len(same)
+        yield _neighbour_batch([*zip(ids[same].tolist(), ids[same + 1].tolist(), [None] * n, [None] * n, [None] * n, [None] * n)])
+    if first is not None:
+        yield _neighbour_batch([(None, int(x[2]), part, k, int(x[0]), int(x[1])) for k, x in enumerate((first, last))])
 
 
-_NEIGHBOURS = "drop BIGINT, part INT, last INT, bucket STRING, id BIGINT, sig BINARY"
+_NEIGHBOURS = "a BIGINT, id BIGINT, part INT, last INT, band INT, key BIGINT"
 
 
 def _neighbour_batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
     columns = zip(*out) if out else ((),) * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["drop", "part", "last", "bucket", "id", "sig"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "id", "part", "last", "band", "key"])
 
 
 def near_duplicate_drops(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(``id``) of the rows to drop. signed: (``id``, ``sig``).
 
     Rows of a band are ordered by key and id, and only neighbours of one bucket are compared; the later one is dropped at
-    or above the threshold, and still stands as neighbour of the next. A global sort does this, so a bucket of any size is
-    spread over tasks; what is left to compare is the last row of a partition with the first of the next, two rows for each
-    partition.
+    or above the threshold, and still stands as neighbour of the next. A global sort of (band, key, id), without the
+    sketches, does this, so a bucket of any size is spread over tasks; what is left to pair is the last row of a partition
+    with the first of the next, two rows for each partition. The sketches meet for the pairs found only.
     """
-    banded = signed.mapInArrow(_banded, "band INT, key BIGINT, id BIGINT, sig BINARY")
-    ordered = banded.orderBy("band", "key", "id")
-    found = materialize(ordered.mapInArrow(_neighbours(threshold), _NEIGHBOURS), "neighbours")
-    seams = found.where("part IS NOT NULL")
+    ordered = signed.mapInArrow(_banded, "band INT, key BIGINT, id BIGINT").orderBy("band", "key", "id")
+    found = materialize(ordered.mapInArrow(_neighbours, _NEIGHBOURS), "neighbours")
     w = Window.orderBy("part", "last")
-    pairs = seams.select("last", "bucket", "id", "sig", F.lag("bucket").over(w).alias("b0"), F.lag("sig").over(w).alias("s0"))
-    pairs = pairs.where((F.col("last") == 0) & (F.col("bucket") == F.col("b0")))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = [_alike((0, 0, 0, a), (0, 0, 0, b), threshold) for a, b in zip(batch.column("s0").to_pylist(), batch.column("sig").to_pylist())]
-            yield batch.select(["id"]).filter(pa.array(alike, pa.bool_()))
-
-    over = pairs.mapInArrow(compare, "id BIGINT")
-    return found.where("drop IS NOT NULL").select(F.col("drop").alias("id")).unionByName(over).distinct()
+    before = [F.lag(c).over(w).alias(f"{c}0") for c in ("id", "band", "key")]
+    seams = found.where("part IS NOT NULL").select("id", "last", "band", "key", *before)
+    over = seams.where("last = 0 AND band = band0 AND key = key0").select(F.col("id0").alias("a"), "id")
+    pairs = found.where("part IS NULL").select("a", "id").unionByName(over).where("a <> id").distinct()
+    sides = pairs.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(signed.select("id", F.col("sig").alias("y")), "id")
+    equal = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e))
+    return sides.where(equal >= F.lit(threshold * HASHES - 1e-9)).select("id").distinct()
 
 
 def surviving_texts(table: DataFrame, id_col: str = "row_id", text_col: str = "text", threshold: float = 0.8, near: bool = True) -> DataFrame:
@@ -199,7 +167,7 @@ def surviving_texts(table: DataFrame, id_col: str = "row_id", text_col: str = "t
     texts = materialize(gated(table, id_col, text_col).where("gate IS NULL").select("id", "clean").join(kept, "id"), "kept-texts")
     if not near:
         return texts
-    return texts.join(near_duplicate_drops(sketches(texts), threshold), "id", "left_anti")
+    return texts.join(near_duplicate_drops(materialize(sketches(texts), "sketches"), threshold), "id", "left_anti")
 
 
 def greedy_keep(texts: list[str], threshold: float = 0.8) -> list[int]:

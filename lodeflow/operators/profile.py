@@ -65,3 +65,12 @@ def conversation_profile(table: DataFrame, messages: str = "conversations") -> D
 def uniform_sample(table: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
     """k rows, each as likely as any other, the same in every run: the smallest hashes of the ids, found by top-k."""
     return table.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(k)
+
+
+def report(table: DataFrame, messages: str = "conversations") -> DataFrame:
+    """One row of JSON: records, roles, reasoning, lengths. Its parts are one row each, or one for every role."""
+    roles = role_counts(table, messages).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n")))).alias("roles"))
+    lengths = conversation_profile(table, messages)
+    parts = table.agg(F.count("*").alias("records")).crossJoin(F.broadcast(roles)).crossJoin(F.broadcast(reasoning_counts(table, messages).select(F.struct("*").alias("reasoning"))))
+    whole = parts.join(F.broadcast(lengths.select(F.struct("*").alias("char_len"))), F.lit(True), "left")
+    return whole.select(F.to_json(F.struct("*")).alias("value"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodeflow.functions import formulas, judge, text, tools
 from lodeflow.operators import chat, dedup, evals, packing, preference, profile
 from lodeflow.operators.tokenizers import ByteTokenizer, encode_texts
+from lodeflow.session import materialize
 from lodeflow.sources import sinks
 from lodeflow.streaming import incremental
 
@@ -122,7 +123,7 @@ def least_shingle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def near_duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup.surviving_texts(t(spark, sf_dir, "pretrain_t2t"), near=False)
-    return dedup.near_duplicate_drops(dedup.sketches(kept)).select(F.col("id").alias("row_id"))
+    return dedup.near_duplicate_drops(materialize(dedup.sketches(kept), "sketches")).select(F.col("id").alias("row_id"))
 
 
 @query()
@@ -593,6 +594,70 @@ def packed_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(chat.labelled(chat.sft_texts(rows), tok, 8192), 8192, tok.eos_id, labels_col="labels")
 
 
+_MARKS = ["<|endoftext|>", "<|im_start|>", "<|im_end|>", "<think>", "</think>", "<tool_call>", "</tool_call>", "<tool_response>", "</tool_response>"]
+_TOKENS = "strlen(x) - (" + " + ".join(f"(strlen(x) - strlen(replace(x, '{m}', ''))) // {len(m)} * {len(m) - 1}" for m in _MARKS) + ")"
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, ingested_at, {_LIFTED.replace('%s', 'conversations')} || {_TURNS % 'conversations'} AS x FROM sft_t2t_mini WHERE len(conversations) > 0)
+SELECT conv_id, epoch_us(ingested_at) AS at, CAST({_TOKENS} AS BIGINT) AS tokens, {_TOKENS} <= 1024 AS fits FROM c""")
+def chat_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "sft_t2t_mini").withColumn("at", F.unix_micros(F.col("ingested_at").cast("timestamp"))).where(F.size("conversations") > 0)
+    texts = chat.sft_texts(rows.withColumn("key", F.xxhash64("conv_id", "at")), "key")
+    ids = encode_texts(texts, ByteTokenizer(), text_col="text")
+    short = preference.fitting(ids, ["ids"], 1024).select("id", F.lit(True).alias("fits"))
+    sized = ids.select("id", F.size("ids").cast("bigint").alias("tokens")).join(short, "id", "left")
+    keys = rows.select("conv_id", "at", F.xxhash64("conv_id", "at").alias("id"))
+    return keys.join(sized, "id").select("conv_id", "at", "tokens", F.coalesce("fits", F.lit(False)).alias("fits"))
+
+
+@query()
+def supervised_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "sft_t2t_mini").groupBy("conv_id").agg(F.min_by("conversations", "ingested_at").alias("conversations"))
+    found = chat.labelled(chat.sft_texts(rows), ByteTokenizer(), 8192)
+    return found.select(F.col("id").alias("conv_id"), F.size("ids").alias("tokens"), F.size(F.filter("labels", lambda x: x != chat.IGNORED)).alias("supervised"))
+
+
+# ---- formulas
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of the at most seven lines of each order, in order."""
+    li = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_discount", "l_tax", "l_quantity"))).alias("x"))
+    cut = lambda c: F.transform("x", lambda r: r[c])
+    return li.select("l_orderkey", cut("l_discount").alias("a"), cut("l_tax").alias("b"), F.transform("x", lambda r: r["l_quantity"] > 25).alias("m"))
+
+
+@query("SELECT l_orderkey, round(ln(1 + exp(-(2 * (avg(l_discount) - avg(l_tax)) - 1.2))), 9) AS loss FROM lineitem GROUP BY l_orderkey")
+def preference_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("l_orderkey", F.round(formulas.preference_loss(F.col("a"), F.col("b")), 9).alias("loss"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, exp(10 * (l_discount - l_tax)) AS r, l_quantity > 25 AS m FROM lineitem)
+SELECT l_orderkey, round(-least(avg(r), avg(greatest(0.8, least(1.28, r)))), 9) AS loss,
+ round(0.0::DOUBLE - sum(CASE WHEN m THEN least(r, greatest(0.8, least(1.28, r))) ELSE 0 END), 9) AS token_loss, CAST(count(*) FILTER (WHERE m) AS INT) AS tokens FROM r GROUP BY l_orderkey""")
+def clipped_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumns({"a": F.transform("a", lambda x: x * 10), "b": F.transform("b", lambda x: x * 10)})
+    one = F.lit(1.0)
+    terms = formulas.clipped_token_terms(F.col("b"), F.col("a"), one, F.col("m"))
+    return rows.select("l_orderkey", F.round(formulas.clipped_ratio_loss(F.col("b"), F.col("a"), one), 9).alias("loss"), F.round(terms["loss"], 9).alias("token_loss"), terms["tokens"].alias("tokens"))
+
+
+@query("""
+WITH p AS (SELECT l_returnflag AS e, avg(l_discount) AS p, sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS n FROM lineitem GROUP BY 1)
+SELECT round(3 * sum(p * n / (SELECT sum(n) FROM p)), 9)::DOUBLE AS loss FROM p""")
+def balance_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("expert"), F.col("l_discount").alias("prob"), (F.col("l_quantity") > 25).alias("chosen"))
+    return formulas.balance_loss(routed, 3).select(F.round("loss", 9).alias("loss"))
+
+
+@query()
+def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON text about the conversations."""
+    return profile.report(t(spark, sf_dir, "sft_t2t_mini"))
+
+
 # ---- streams
 
 

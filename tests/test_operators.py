@@ -259,6 +259,20 @@ def test_losses(spark):
     assert values[0] == 1.0 and values[-1] == pytest.approx(0.1) and values == sorted(values, reverse=True)
 
 
+def test_interrupted_rate():
+    at = lambda step: formulas.interrupted_rate(1000, 0, 10, 1, 1, 1, 0.1, 1.0, 0.1, step)
+    assert at(0) == pytest.approx(0.1) and at(9) == 1.0 and at(100) == pytest.approx(0.1) and at(55) == pytest.approx(0.55)
+
+
+def test_report(spark):
+    import json
+
+    df = spark.createDataFrame([([msg("user", "ab"), msg("assistant", "c", reasoning="r")],), (None,)], CONVERSATION)
+    got = json.loads(profile.report(df).first().value)
+    assert got["records"] == 2 and got["roles"] == {"assistant": 1, "user": 1} and got["char_len"]["total_chars"] == 3 and got["reasoning"] == {"messages": 1, "records": 1}
+    assert json.loads(profile.report(df.where("false")).first().value)["records"] == 0
+
+
 def test_nucleus(spark):
     df = spark.createDataFrame([(1, i, p) for i, p in enumerate([0.5, 0.3, 0.15, 0.05])], "g int, i int, p double")
     kept = formulas.nucleus(df, ["g"], "p", [F.col("i")], 0.6).orderBy("i").collect()
