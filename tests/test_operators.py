@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodeflow.functions import formulas
 from lodeflow.operators import chat, dedup, evals, packing, preference, profile, skew
+from lodeflow.operators.graph import components
 from lodeflow.operators.order import ranks
 from lodeflow.operators.tokenizers import ByteTokenizer, decode_ids, encode_texts
 from lodeflow.plans.config import load_config, merged
@@ -90,6 +91,25 @@ def test_near_duplicates_equal_loop(spark, parts):
     assert got == adjacent_loop(range(len(texts)), signs.tolist()) and len(got) > 40
 
 
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2300)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in parent}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # ---- packing
 
 
