@@ -30,7 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeflow.llm import canon
+from lodeflow.llm.format_dups import format_groups, keyed
 from lodeflow.operators.batches import mix64, text_slices
+from lodeflow.operators.graph import components
+from lodeflow.operators.skew import join_hot_split
 from lodeflow.session import materialize
 
 PIECE = 5
@@ -319,3 +322,17 @@ def near_duplicate_pairs(table: DataFrame, id_col: str = "row_id", text_col: str
     texts = materialize(rows.join(ids, "id").groupBy("id").agg(F.min("text").alias("text")), "near-texts")
     pairs = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return pairs.select("a", "b", "ta", "tb").mapInArrow(_similarity(threshold), "a BIGINT, b BIGINT, similarity DOUBLE")
+
+
+def near_duplicate_groups(table: DataFrame, id_col: str = "row_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """(``id_col``, ``group_id``, ``record``, ``links``) of every row in a group of near duplicates.
+
+    Groups are the connected components of the pairs, named by their smallest record; ``record`` is the smallest id of the
+    row's exact copies, which share its links to different records. Copies are not expanded into pairs.
+    """
+    pairs = materialize(near_duplicate_pairs(table, id_col, text_col, threshold), "pairs")
+    links = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    keys = materialize(keyed(table, id_col, text_col), "keys")
+    named = components(pairs).join(links, "id").join(format_groups(keys).withColumnRenamed("keep", "id"), "id")
+    records = materialize(named.select("h", "check", "copies", "links", F.col("id").alias("record"), F.col("label").alias("group_id")), "records")
+    return join_hot_split(keys, records, ["h", "check"], "copies", keys.count()).select(F.col("id").alias(id_col), "group_id", "record", "links")

@@ -18,6 +18,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.selectExpr("a AS row_id_a", "b AS row_id_b")
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicate_groups(_t(spark, sf_dir, "pretrain_t2t"))
+
+
 def _packed_texts(capacity: int) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         items = containers.text_lengths(_t(spark, sf_dir, "pretrain_t2t"), "row_id")
@@ -71,6 +75,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p1_groups": p1_groups,
         "p2_found": p2_found,
         "p2_scores": p2_scores,
         "p3_found": p3_found,

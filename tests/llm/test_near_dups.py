@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lodeflow.llm import canon
-from lodeflow.llm.near_dups import BITS, candidate_pairs, fingerprints, near_duplicate_pairs, pieces
+from lodeflow.llm.near_dups import BITS, candidate_pairs, fingerprints, near_duplicate_groups, near_duplicate_pairs, pieces
 
 
 def brute(rows):
@@ -78,3 +78,11 @@ def test_bits_estimate_similarity():
         assert abs(np.bitwise_count(p ^ q).sum() / BITS - (1 - j) / 2) < 0.09
     same = fingerprints(*canon.flatten([t, t.upper(), "x"]))
     assert (same[0] == same[1]).all() and len(same[2]) == BITS // 8
+
+
+def test_groups(spark):
+    t = "a text that is copied with a small change now and then, and long enough for that not to matter much at all"
+    rows = [(5, t), (9, t.upper()), (6, t.replace("small", "tiny")), (7, t.replace("small", "tiny").replace("much", "a lot")), (8, "something else " * 9), (None, t)]
+    got = {r.row_id: (r.group_id, r.record) for r in near_duplicate_groups(spark.createDataFrame(rows, "row_id long, text string")).collect()}
+    assert got == {5: (5, 5), 9: (5, 5), 6: (5, 6), 7: (5, 7)}
+    assert near_duplicate_groups(spark.createDataFrame([], "row_id long, text string")).count() == 0
