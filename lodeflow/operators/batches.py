@@ -7,6 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer partitions than the cluster has cores, spread over the cores; others stay where they are.
+
+    A table in few files, or in one row group, would leave all other cores idle in a Python stage. At scale a table has
+    more partitions than there are cores, and nothing is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:

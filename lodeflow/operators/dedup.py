@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeflow.functions.text import clean_text, compact_space, digest
-from lodeflow.operators.batches import code_points, mix64, text_slices
+from lodeflow.operators.batches import code_points, mix64, spread, text_slices
 from lodeflow.operators.skew import join_hot_split
 from lodeflow.session import materialize
 
@@ -28,7 +28,7 @@ _A, _B = _RNG.integers(1, _PRIME, HASHES, dtype=np.int64), _RNG.integers(0, _PRI
 
 def gated(table: DataFrame, id_col: str = "row_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
     """(``id``, ``clean``, ``gate``): too_short is tested first, then too_long; NULL for texts that pass."""
-    rows = table.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = spread(table.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col)))
     clean = rows.select(F.col(id_col).cast("bigint").alias("id"), clean_text(F.col(text_col)).alias("clean"))
     n = F.length("clean")
     return clean.withColumn("gate", F.when(n < min_chars, "too_short").when(n > max_chars, "too_long"))
@@ -89,7 +89,7 @@ def sketches(table: DataFrame, id_col: str = "id", text_col: str = "clean") -> D
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "sig"])
 
     rows = table.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), compact_space(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(run, "id BIGINT, sig ARRAY<BIGINT>")
+    return spread(rows).mapInArrow(run, "id BIGINT, sig ARRAY<BIGINT>")
 
 
 def similarity(a: str, b: str) -> float:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeflow.operators.batches import text_slices
+from lodeflow.operators.batches import spread, text_slices
 from lodeflow.schemas import SPECIAL_TOKENS
 
 
@@ -125,7 +125,7 @@ def encode_texts(table: DataFrame, tokenizer: Tokenizer, id_col: str = "id", tex
                 ids = [sent.value.encode(t) if t is not None else [] for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
-    return table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id BIGINT, ids ARRAY<INT>")
+    return spread(table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id BIGINT, ids ARRAY<INT>")
 
 
 def decode_ids(table: DataFrame, tokenizer: Tokenizer, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
