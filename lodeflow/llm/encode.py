@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeflow.llm.bpe import Encoder, read_ranks
-from lodeflow.operators.batches import text_slices
+from lodeflow.operators.batches import spread, text_slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -44,4 +44,4 @@ def encode_corpus(table: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "ids"])
 
     rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "id BIGINT, ids ARRAY<INT>").withColumnRenamed("id", id_col)
+    return spread(rows).mapInArrow(encode, "id BIGINT, ids ARRAY<INT>").withColumnRenamed("id", id_col)

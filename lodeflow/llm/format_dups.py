@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeflow.llm import canon
-from lodeflow.operators.batches import text_slices
+from lodeflow.operators.batches import spread, text_slices
 from lodeflow.operators.skew import join_hot_split
 from lodeflow.session import materialize
 
@@ -42,7 +42,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keyed(table: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """(``id``, ``h``: 128-bit hash, ``check``: 64 further bits) of every row that has a canonical form."""
     rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_hashed, "id BIGINT, h BINARY, check BIGINT")
+    return spread(rows.where("id IS NOT NULL AND text IS NOT NULL")).mapInArrow(_hashed, "id BIGINT, h BINARY, check BIGINT")
 
 
 def format_groups(keys: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lodeflow.llm import canon
 from lodeflow.llm.near_dups import PIECE, piece_hashes
-from lodeflow.operators.batches import mix64, text_slices
+from lodeflow.operators.batches import mix64, spread, text_slices
 
 WINDOW, STEP = 512, 256
 PARTITIONS = (128, 256, WINDOW)
@@ -211,7 +211,7 @@ def leaked_items(
                     columns = ([ids[d] for d, _, _ in found], [ready.ids[i] for _, i, _ in found], [s for _, _, s in found])
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["id", "item", "score"])
 
-        return rows.mapInArrow(search, "id BIGINT, item BIGINT, score DOUBLE")
+        return spread(rows).mapInArrow(search, "id BIGINT, item BIGINT, score DOUBLE")
 
     for item, text in asked.toLocalIterator():
         if canon.flat(text):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lodeflow.llm import canon
 from lodeflow.llm.format_dups import format_groups, keyed
-from lodeflow.operators.batches import mix64, text_slices
+from lodeflow.operators.batches import mix64, spread, text_slices
 from lodeflow.operators.graph import components
 from lodeflow.operators.skew import join_hot_split
 from lodeflow.session import materialize
@@ -123,7 +123,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signed(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(``id``, ``print``) of each distinct record, by its smallest id; the texts are read once and not shuffled."""
     rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_sign, _SIGNED)
+    rows = spread(rows.where("id IS NOT NULL AND text IS NOT NULL")).mapInArrow(_sign, _SIGNED)
     kept = rows.groupBy("h", "check").agg(F.min(F.struct("id", "print")).alias("r")).select("r.*")
     return kept.groupBy("id").agg(F.min("print").alias("print"))
 

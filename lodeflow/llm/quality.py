@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeflow.llm.stats import COMMON_EN, COMMON_ZH, NAMES, measure
-from lodeflow.operators.batches import text_slices
+from lodeflow.operators.batches import spread, text_slices
 from lodeflow.session import materialize
 
 #: Squared distance of an outlier; twice the number of statistics.
@@ -223,7 +223,7 @@ def _sums(limits: dict):
 def fit_prose(table: DataFrame, text_col: str = "text") -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each language the mean of prose and the inverse of its covariance, over all texts."""
     rows = table.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    stats = materialize(rows.mapInArrow(_statistics, "lang INT, s BINARY"), "stats")
+    stats = materialize(spread(rows).mapInArrow(_statistics, "lang INT, s BINARY"), "stats")
     p = len(NAMES)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def score_texts(table: DataFrame, id_col: str = "row_id", text_col: str = "text"
 
     rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     kinds = "id BIGINT, lang STRING, distance DOUBLE, outlier BOOLEAN, kind STRING, statistics ARRAY<DOUBLE>, contributions ARRAY<DOUBLE>"
-    return rows.mapInArrow(score, kinds).withColumnRenamed("id", id_col)
+    return spread(rows).mapInArrow(score, kinds).withColumnRenamed("id", id_col)
 
 
 def not_prose(table: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeflow.llm.quality import larger_part
-from lodeflow.operators.batches import text_slices
+from lodeflow.operators.batches import spread, text_slices
 from lodeflow.session import materialize
 
 LABELLED = 5_000
@@ -299,4 +299,4 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string())], ["id", "subject"])
 
     rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(score, "id BIGINT, subject STRING").withColumnRenamed("id", id_col).distinct()
+    return spread(rows).mapInArrow(score, "id BIGINT, subject STRING").withColumnRenamed("id", id_col).distinct()
