@@ -21,9 +21,8 @@ from lodeflow.session import materialize
 MIN_CHARS, MAX_CHARS = 32, 100_000
 HASHES, BANDS = 64, 16
 SHINGLE, MOST_SHINGLES = 5, 4096
-_PRIME = (1 << 31) - 1
-_RNG = np.random.default_rng(20260101)
-_A, _B = _RNG.integers(1, _PRIME, HASHES, dtype=np.int64), _RNG.integers(0, _PRIME, HASHES, dtype=np.int64)
+#: Odd multipliers of the multiply-shift family, fixed by a seed.
+_A = np.random.default_rng(20260101).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def gated(table: DataFrame, id_col: str = "row_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -62,19 +61,19 @@ def outcome_counts(found: DataFrame) -> DataFrame:
 
 
 def sketch_texts(texts: list[str], shingle: int = SHINGLE, most: int = MOST_SHINGLES) -> np.ndarray:
-    """(n, HASHES) least values over a text's strided shingles: a polynomial hash of a shingle, then affine maps."""
+    """(n, HASHES) least 31-bit values over a text's strided shingles: a mixed 64-bit hash, then multiply and shift."""
     points, offsets = code_points(texts)
     lengths = np.diff(offsets)
+    padded = np.concatenate((points.astype(np.uint64) + np.uint64(1), np.zeros(shingle, np.uint64)))
     out = np.empty((len(texts), HASHES), np.int64)
     for i, n in enumerate(lengths.tolist()):
-        own = points[offsets[i] : offsets[i + 1]].astype(np.int64)
         total = max(1, n - shingle + 1)
-        starts = np.arange(0, total, -(-total // most))
-        h = np.zeros(len(starts), np.int64)
+        starts = np.arange(0, total, -(-total // most)) + offsets[i]
+        h = np.zeros(len(starts), np.uint64)
         for k in range(min(shingle, max(n, 1))):
-            step = own[starts + k] if n else np.zeros(len(starts), np.int64)
-            h = (h * 1_000_003 + step + 1) % _PRIME
-        out[i] = ((_A[:, None] * h[None, :] + _B[:, None]) % _PRIME).min(axis=1)
+            h = h * np.uint64(1_000_003) + (padded[starts + k] if n else np.uint64(0))
+        h = mix64(h)
+        out[i] = ((_A[:, None] * h[None, :]) >> np.uint64(33)).min(axis=1).astype(np.int64)
     return out
 
 

@@ -7,7 +7,11 @@ and put together in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,24 +73,54 @@ def pack(table: DataFrame, max_len: int, eos_id: int, pad_id: int = -1, id_col:
         return out[["shard", "id", "doc", "seq", "start", "size", "eos", "place"]]
 
     pieces = lengths.groupBy("shard").applyInPandas(fold, _PIECES)
-    columns = [F.col(id_col).alias("id"), F.col(ids_col).alias("_ids")] + ([F.col(labels_col).alias("_labels")] if labels_col else [])
-    joined = pieces.join(base.select(*columns), "id")
-    tail = lambda x: F.when(F.col("eos"), F.array(F.lit(x))).otherwise(F.array().cast("array<int>"))
-    cut = lambda c: F.slice(F.col(c), F.col("start") + 1, F.col("size"))
-    piece = [F.col("place").alias("place"), F.concat(cut("_ids"), tail(eos_id)).alias("ids"), F.array_repeat(F.col("doc"), F.col("size") + F.col("eos").cast("int")).alias("docs")]
-    if labels_col:
-        piece.append(F.concat(cut("_labels"), tail(-100)).alias("labels"))
-    rows = joined.groupBy("shard", "seq").agg(F.array_sort(F.collect_list(F.struct(*piece))).alias("p"))
-
-    def vector(field: str, fill: int):
-        # a piece that isn't the last leaves one place empty behind it, which is always the end of a sequence
-        whole = F.flatten(F.transform("p", lambda x: x[field]))
-        return F.concat(whole, F.array_repeat(F.lit(fill), F.lit(max_len) - F.size(whole)))
-
-    out = [F.col("shard"), F.col("seq"), vector("ids", pad_id).alias("input_ids"), vector("docs", -1).alias("document_ids")]
-    if labels_col:
-        out.append(vector("labels", -100).alias("labels"))
-    return rows.select(*out)
+    sources = {"ids": ids_col} | ({"labels": labels_col} if labels_col else {})
+    joined = pieces.join(base.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"_{k}") for k, c in sources.items())), "id")
+    cut = [F.slice(F.col(f"_{k}"), F.col("start") + 1, F.col("size")).cast("array<int>").alias(k) for k in sources]
+    rows = joined.select("shard", "seq", "place", "doc", "eos", *cut).repartition("shard", "seq").sortWithinPartitions("shard", "seq", "place")
+    fills = {"input_ids": pad_id, "document_ids": -1} | ({"labels": -100} if labels_col else {})
+    kinds = "shard BIGINT, seq BIGINT, " + ", ".join(f"{c} ARRAY<INT>" for c in fills)
+    return rows.mapInArrow(_assembled(max_len, eos_id, fills), kinds)
+
+
+def _assembled(max_len: int, eos_id: int, fills: dict[str, int]):
+    """Puts the pieces of each sequence, complete and in order in a partition, into vectors."""
+
+    def batch_of(keys: list[tuple[int, int]], vectors: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+        offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * max_len)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v) if v else np.zeros(0, np.int32))) for v in vectors.values()]
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *lists], ["shard", "seq", *vectors])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[tuple[int, int]] = []
+        vectors: dict[str, list[np.ndarray]] = {c: [] for c in fills}
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in ("shard", "seq", "place", "doc", "eos")}
+            parts = {}
+            for k in ("ids", "labels"):
+                if k in batch.schema.names:
+                    lists = batch.column(k)
+                    parts[k] = (np.asarray(lists.flatten()), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0))))))
+            for i, key in enumerate(zip(columns["shard"], columns["seq"])):
+                if not keys or keys[-1] != key:
+                    if len(keys) >= 256:
+                        yield batch_of(keys, vectors)
+                        keys, vectors = [], {c: [] for c in fills}
+                    keys.append(key)
+                    for c, fill in fills.items():
+                        vectors[c].append(np.full(max_len, fill, np.int32))
+                values, ends = parts["ids"]
+                at, size = columns["place"][i], int(ends[i + 1] - ends[i])
+                vectors["input_ids"][-1][at : at + size] = values[ends[i] : ends[i + 1]]
+                if columns["eos"][i]:
+                    vectors["input_ids"][-1][at + size] = eos_id
+                vectors["document_ids"][-1][at : at + size + columns["eos"][i]] = columns["doc"][i]
+                if "labels" in parts:
+                    values, ends = parts["labels"]
+                    vectors["labels"][-1][at : at + size] = values[ends[i] : ends[i + 1]]
+        if keys:
+            yield batch_of(keys, vectors)
+
+    return run
 
 
 def model_inputs(packed: DataFrame, pad_id: int = -1) -> DataFrame:
