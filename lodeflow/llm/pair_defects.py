@@ -1,8 +1,10 @@
 """Defective answers in conversations and preference pairs.
 
 Openings, the first clauses of every answer, are clustered by verified MinHash. A cluster that recurs across unrelated
-prompts is a template; a template that declines marks a refusal, if the answer holds nothing else. Copies, other languages
-and answers that break off are told by checks on the answer and the question before it, the nearest user message.
+prompts is a template; a template that declines marks a refusal, if the answer holds nothing else. Whether a template declines
+is told by known phrases, and by its place: it stands where they stand, beside the same apologies and offers, in short answers.
+Copies, other languages and answers that break off are told by checks on the answer and the question before it, the nearest
+user message.
 
 An answer has at most one defect, the first that holds of: empty, refusal, copy, language, truncated.
 
@@ -35,6 +37,9 @@ OPENING, PROMPTS, HASHES, ROWS = 4, 3, 36, 3
 SIMILARITY = 0.8
 #: A refusal has no more clauses than this, and beside them no more letters and digits (Chinese, other).
 CLAUSES, REST = 6, (48, 140)
+#: A template of refusals has this share of its answers short. Beside this many declining templates, in this share of its
+#: answers, it is a companion of refusals; one that has companions in this share, but no declining one, declines itself.
+SHORT, KINDS, BESIDE, PLACED = 0.9, 2, 0.3, 0.2
 
 _THINK = regex.compile(r"<think>.*?(?:</think>|$)", regex.DOTALL | regex.IGNORECASE)
 _TAGS = regex.compile(r"</?think>", regex.IGNORECASE)
@@ -49,7 +54,7 @@ _ENDED = regex.compile(r"[。！？.!?…~～;；][\p{Pe}\p{Pf}\p{Pi}\"'*_`\s]*$
 _LEAD = regex.compile(r"^[\s\p{P}\p{S}]*(?:问题|问|提问|用户|q|question|user)\s*[:：]\s*", regex.IGNORECASE)
 _BREAKS_OFF = regex.compile(r"(?:例如|比如|譬如|包括|以及|并且|因为|所以|for example|such as|because|and|or|the)\s*[，,:：、]?\s*$", regex.IGNORECASE)
 
-#: What a declining clause says.
+#: What a declining clause often says; templates that say it lead to those that say it otherwise.
 _DECLINES = regex.compile(
     r"(?:无法|不能|不便|不方便|不会|没法|没办法|难以|不予|不宜)(?:就此|对此|为你|帮你|向你)?(?:回答|提供|讨论|协助|帮助|帮忙|帮|给出|谈论|谈|处理|满足|作答|透露|评论|继续|完成|给)"
     r"|超出.{0,8}(?:范围|能力)|恕.{0,4}(?:不能|无法|难)|拒绝"
@@ -187,12 +192,12 @@ def breaks_off(answer: str) -> bool:
     return han >= 12 or words >= 7
 
 
-_FACTS = "id BIGINT, field STRING, turn INT, defect STRING, declines BOOLEAN, n INT, clauses ARRAY<STRING>, rest INT, chinese BOOLEAN, q BIGINT"
+_FACTS = "id BIGINT, field STRING, turn INT, defect STRING, short BOOLEAN, goes_on BOOLEAN, n INT, clauses ARRAY<STRING>, q BIGINT"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("id", "field", "turn", "defect", "declines", "n", "clauses", "rest", "chinese", "q")}
+        out: dict[str, list] = {k: [] for k in ("id", "field", "turn", "defect", "short", "goes_on", "n", "clauses", "q")}
         for k in range(batch.num_rows):
             question: str | None = None
             for turn, m in enumerate(batch.column("messages")[k].as_py() or ()):
@@ -213,14 +218,14 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             defect = "language"
                         elif breaks_off(answer):
                             defect = "truncated"
+                    short = len(parts) <= CLAUSES and len(canon.flat(answer)) <= REST[0 if _HAN.search(answer) else 1]
                     values = (
-                        batch.column("id")[k].as_py(), batch.column("field")[k].as_py(), turn, defect,
-                        any(_DECLINES.search(c) for c in parts[:OPENING]) and not _BUT.search(answer), len(parts), parts[:OPENING],
-                        len(canon.flat(answer)), bool(_HAN.search(answer)), int.from_bytes(_hash(canon.flat(question or "")), "little", signed=True),
+                        batch.column("id")[k].as_py(), batch.column("field")[k].as_py(), turn, defect, short, bool(_BUT.search(answer)), len(parts),
+                        parts if short else parts[:OPENING], int.from_bytes(_hash(canon.flat(question or "")), "little", signed=True),
                     )
                     for column, v in zip(out.values(), values):
                         column.append(v)
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.int64())
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), kinds)], list(out))
 
 
@@ -275,18 +280,20 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _declining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         said = pa.array([bool(_DECLINES.search(c)) for c in batch.column("clause").to_pylist()], pa.bool_())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("clause", "template", "size")), said], ["clause", "template", "size", "declines"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("clause", "template", "size", "short")), said], ["clause", "template", "size", "short", "declines"])
 
 
 def templates(facts: DataFrame, prompts: int = PROMPTS) -> DataFrame:
-    """(``clause``, ``template``, ``declines``, ``size``): opening clauses of clusters that recur across prompts.
+    """(``clause``, ``template``, ``size``, ``short``, ``declines``): clauses of clusters that recur across prompts, with
+    the number of answers and of short ones, and whether the clause says a known phrase.
 
     Each distinct clause joins the cluster of the most frequent clause of a band it shares, if their similarity is
     verified. Clauses are counted by prompt with partial counts made before any shuffle, so a clause that a third of the
     answers share is one row from then on; no pairs within a bucket are made.
     """
-    opened = facts.where("n > 0").select("q", F.explode("clauses").alias("clause"))
-    counted = opened.groupBy("clause", "q").agg(F.count("*").alias("m")).groupBy("clause").agg(F.count("*").alias("prompts"), F.sum("m").alias("size"))
+    opened = facts.where("n > 0").select("q", F.col("short").cast("long").alias("short"), F.explode("clauses").alias("clause"))
+    by_prompt = opened.groupBy("clause", "q").agg(F.count("*").alias("m"), F.sum("short").alias("s"))
+    counted = by_prompt.groupBy("clause").agg(F.count("*").alias("prompts"), F.sum("m").alias("size"), F.sum("s").alias("short"))
     distinct = materialize(counted.withColumn("id", F.xxhash64("clause")), "clauses")
     banded = materialize(distinct.select("id", "clause", "prompts").mapInArrow(_bands, "id BIGINT, prompts BIGINT, band INT, key BIGINT"), "bands")
     heads = banded.groupBy("band", "key").agg(F.max(F.struct("prompts", "id")).alias("top"), F.count("*").alias("members")).where("members > 1")
@@ -300,8 +307,42 @@ def templates(facts: DataFrame, prompts: int = PROMPTS) -> DataFrame:
     members = materialize(own.unionByName(linked).distinct(), "members")
     recurring = members.groupBy("template").agg(F.sum("prompts").alias("across")).where(F.col("across") >= prompts)
     found = members.join(recurring, "template").groupBy("clause").agg(F.max(F.struct("across", "template")).alias("t"))
-    named = found.join(distinct.select("clause", "size"), "clause").select("clause", F.col("t.template").alias("template"), "size")
-    return named.mapInArrow(_declining, "clause STRING, template STRING, size BIGINT, declines BOOLEAN")
+    named = found.join(distinct.select("clause", "size", "short"), "clause").select("clause", F.col("t.template").alias("template"), "size", "short")
+    return named.mapInArrow(_declining, "clause STRING, template STRING, size BIGINT, short BIGINT, declines BOOLEAN")
+
+
+def declining_clauses(facts: DataFrame, named: DataFrame) -> DataFrame:
+    """(``clause``, ``size``): the clauses of templates that decline. named: of ``templates``.
+
+    Templates that mostly say a known phrase come first. Those of short answers that often stand beside several of them
+    are their companions: apologies, reasons, offers. A template of short answers that has companions beside it and no
+    declining one takes the place of one, so it declines as well; this is repeated until nothing is added.
+    """
+    sized = named.groupBy("template").agg(F.sum("size").alias("size"), F.sum("short").alias("short"), F.sum(F.when(F.col("declines"), F.col("size")).otherwise(0)).alias("said"))
+    closed = materialize(sized.where(F.col("short") >= F.lit(SHORT) * F.col("size")).select("template", "size", (2 * F.col("said") >= F.col("size")).alias("declines")), "closed-templates")
+    held = named.join(closed.select("template"), "template", "left_semi").select("clause", "template", "size")
+    key = ["id", "field", "turn", "q"]
+    spoken = facts.where("short").select(*key, F.explode("clauses").alias("clause"))
+    rows = join_hot_split(spoken, held, ["clause"], "size", facts.count()).select(*key, "template").distinct()
+    answers_of = materialize(rows.groupBy(*key).agg(F.collect_set("template").alias("all")).groupBy("all").agg(F.count("*").alias("m")), "answer-forms")
+    forms = materialize(answers_of.withColumn("form", F.xxhash64(F.array_sort("all"))).select("form", "m", F.explode("all").alias("template")), "forms")
+    total = forms.groupBy("template").agg(F.sum("m").alias("total"))
+    core = materialize(closed.where("declines").select("template"), "declining-templates")
+    while True:
+        holding = forms.join(core, "template", "left_semi").select("form", F.col("template").alias("core"))
+        others = forms.join(core, "template", "left_anti")
+        beside = others.join(holding, "form").groupBy("template", "form").agg(F.max("m").alias("m"), F.collect_set("core").alias("cores"))
+        met = beside.groupBy("template").agg(F.sum("m").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("cores")))).alias("kinds"))
+        met = materialize(met.join(total, "template"), "beside-declining")
+        companions = met.where((F.col("kinds") >= KINDS) & (F.col("n") >= F.lit(BESIDE) * F.col("total"))).select("template")
+        left = others.join(holding, "form", "left_anti")
+        placed = left.join(left.join(companions, "template", "left_semi").select("form").distinct(), "form", "left_semi")
+        placed = placed.join(met, "template", "left_anti").groupBy("template").agg(F.sum("m").alias("w")).join(total, "template")
+        added = materialize(placed.where((F.col("w") >= 2) & (F.col("w") >= F.lit(PLACED) * F.col("total"))).select("template"), "also-declining")
+        if added.isEmpty():
+            break
+        core = materialize(core.unionByName(added), "declining-templates")
+    return named.join(core.withColumn("placed", F.lit(True)), "template", "left").where("declines OR placed").select("clause", "size")
 
 
 def answers(table: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
@@ -315,10 +356,8 @@ def answers(table: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 def defective_answers(sources: list[tuple[DataFrame, str, list[str]]]) -> DataFrame:
     """(``record_id``, ``field``, ``turn``, ``defect``). sources: (table, id column, conversation columns)."""
     facts = materialize(functools.reduce(DataFrame.unionByName, (answers(*s) for s in sources)), "facts")
-    declining = materialize(templates(facts).where("declines").select("clause", "size"), "declining")
-    limit = F.when(F.col("chinese"), F.lit(REST[0])).otherwise(F.lit(REST[1]))
-    short = facts.where(F.col("declines") & (F.col("n") <= CLAUSES) & (F.col("rest") <= limit))
-    opened = short.select("id", "field", "turn", F.explode("clauses").alias("clause"))
+    declining = materialize(declining_clauses(facts, materialize(templates(facts), "templates")), "declining")
+    opened = facts.where("short AND NOT goes_on").select("id", "field", "turn", F.explode(F.slice("clauses", 1, OPENING)).alias("clause"))
     refusals = join_hot_split(opened, declining, ["clause"], "size", facts.count()).select("id", "field", "turn", F.lit("refusal").alias("defect"))
     others = facts.where("defect IS NOT NULL").select("id", "field", "turn", "defect")
     rank = F.array_position(F.array(*(F.lit(x) for x in ("empty", "refusal", "copy", "language", "truncated"))), F.col("defect"))

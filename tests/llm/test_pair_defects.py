@@ -48,3 +48,14 @@ def test_operator(spark):
         + [(11, c, 1, "empty"), (12, c, 1, "empty"), (14, c, 1, "copy"), (15, c, 1, "language"), (16, c, 1, "truncated"), (21, c, 3, "empty"), (1, "rejected", 1, "empty")]
     )
     assert defective_answers([(df.where("false"), "conv_id", ["conversations"])]).count() == 0
+
+
+def test_refusals_of_templates_without_known_phrases(spark):
+    """An opening that no phrase list has is told by its place, beside the companions of known ones."""
+    known, tails = ["我无法回答这个问题", "这个话题我不便讨论"], ["希望你能理解", "请咨询专业人士"]
+    answers = [f"{o}，{e}。" for o in [*known, "这件事我帮不上忙"] for e in tails for _ in range(2)] + ["这件事我帮不上忙。"]
+    answers += [f"先加热样品，再冷却{x}。" for x in ("管子", "瓶子", "样品", "仪器")] + ["很高兴认识你。"] * 4
+    rows = [(k, [("user", f"第{k}个问题是什么意思？", None), ("assistant", a, None)]) for k, a in enumerate(answers)]
+    df = spark.createDataFrame(rows, f"conv_id long, conversations array<{MSG}>")
+    got = {r.record_id for r in defective_answers([(df, "conv_id", ["conversations"])]).collect() if r.defect == "refusal"}
+    assert got == set(range(13))
