@@ -134,10 +134,9 @@ def is_copy(question: str, answer: str) -> bool:
     whole = _alike(q, a)
     if whole < 0.82:
         return False
-    if _ASKS_REPEAT.search(question):
-        payload = canon.flat(regex.split(r"[:：]", question, maxsplit=1)[-1])
-        return _alike(payload, a) < whole
-    return True
+    asked = _ASKS_REPEAT.search(question)
+    mark = asked and regex.search(r"[:：\n“\"「『]", question[asked.end() :])  # what is to be repeated follows; an ordinary question has no such part
+    return not mark or _alike(canon.flat(question[asked.end() + mark.end() :]), a) < whole
 
 
 def wrong_language(question: str, answer: str) -> bool:

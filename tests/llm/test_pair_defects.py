@@ -59,3 +59,10 @@ def test_refusals_of_templates_without_known_phrases(spark):
     df = spark.createDataFrame(rows, f"conv_id long, conversations array<{MSG}>")
     got = {r.record_id for r in defective_answers([(df, "conv_id", ["conversations"])]).collect() if r.defect == "refusal"}
     assert got == set(range(13))
+
+
+def test_copies_of_questions_about_repeating():
+    for q in ("怎样重复对照实验才不会影响样本？请举8个例子。", "How do I copy the stele without harm?", "怎样重复“对照”实验？"):
+        assert is_copy(q, q)
+    for q in ("请原样重复“今天的雨下得很大，我们哪里也去不了，只好待在家里”", "题目：请原样重复：今天的雨下得很大，我们哪里也去不了，只好待在家里"):
+        assert not is_copy(q, "今天的雨下得很大，我们哪里也去不了，只好待在家里")
