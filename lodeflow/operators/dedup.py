@@ -160,6 +160,16 @@ def near_duplicate_drops(signed: DataFrame, threshold: float = 0.8) -> DataFrame
     return sides.where(equal >= F.lit(threshold * HASHES - 1e-9)).select("id").distinct()
 
 
+def corpus_outcomes(table: DataFrame, id_col: str = "row_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """Those of ``outcomes``, with near_dup for rows that only the near-duplicate stage drops."""
+    found = materialize(outcomes(table, id_col, text_col), "outcomes")
+    kept = found.where("outcome = 'kept'").select("id")
+    texts = materialize(gated(table, id_col, text_col).where("gate IS NULL").select("id", "clean").join(kept, "id", "left_semi"), "kept-texts")
+    dropped = near_duplicate_drops(materialize(sketches(texts), "sketches"), threshold).withColumn("near", F.lit(True))
+    outcome = F.when(F.col("near") & (F.col("outcome") == "kept"), "near_dup").otherwise(F.col("outcome"))
+    return found.join(dropped, "id", "left").select("id", "n_chars", "digest", outcome.alias("outcome"))
+
+
 def surviving_texts(table: DataFrame, id_col: str = "row_id", text_col: str = "text", threshold: float = 0.8, near: bool = True) -> DataFrame:
     """(``id``, ``clean``) after cleaning, gates, exact and near duplicates."""
     kept = outcomes(table, id_col, text_col).where("outcome = 'kept'").select("id")

@@ -76,6 +76,12 @@ def pipeline_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.outcome_counts(dedup.outcomes(t(spark, sf_dir, "pretrain_t2t")))
 
 
+@query()
+def corpus_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of the whole job, with the rows that the near-duplicate stage removes."""
+    return dedup.outcome_counts(dedup.corpus_outcomes(t(spark, sf_dir, "pretrain_t2t")))
+
+
 @query(_GATED + "SELECT row_id, outcome FROM o")
 def row_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.outcomes(t(spark, sf_dir, "pretrain_t2t")).select(F.col("id").alias("row_id"), "outcome")
@@ -565,18 +571,26 @@ def needle_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job: clean, gate, exact and near duplicates, tokenize, pack."""
     tok = ByteTokenizer()
-    ids = encode_texts(dedup.surviving_texts(t(spark, sf_dir, "pretrain_t2t"), near=False), tok)
+    ids = encode_texts(dedup.surviving_texts(t(spark, sf_dir, "pretrain_t2t")), tok)
     return packing.pack(ids, 4096, tok.eos_id)
 
 
 @query(_GATED + "SELECT row_id, strlen(clean) AS tokens FROM o WHERE outcome = 'kept'")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens by the byte tokenizer; the table's texts hold no control strings."""
+    """Tokens by the byte tokenizer before near duplicates are dropped; the table's texts hold no control strings."""
     ids = encode_texts(dedup.surviving_texts(t(spark, sf_dir, "pretrain_t2t"), near=False), ByteTokenizer())
     return ids.select(F.col("id").alias("row_id"), F.size("ids").cast("bigint").alias("tokens"))
 
 
+@query()
+def corpus_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the texts that are packed, without near duplicates."""
+    ids = encode_texts(dedup.surviving_texts(t(spark, sf_dir, "pretrain_t2t")), ByteTokenizer())
+    return ids.select(F.col("id").alias("row_id"), F.size("ids").cast("bigint").alias("tokens"))
+
+
 @query()
 def packed_pretrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)
