@@ -69,7 +69,7 @@ _BUT = regex.compile(r"不过|可以说明|可以这样|下面|以下|here goes|
 _ASKS_EN = regex.compile(r"\bEnglish\b|英文|英语", regex.IGNORECASE)
 _ASKS_ZH = regex.compile(r"\b(?:Chinese|Mandarin)\b|中文|汉语", regex.IGNORECASE)
 _ASKS_REPEAT = regex.compile(r"重复|复述|照抄|抄写|原样|repeat|copy|word for word|verbatim|exactly", regex.IGNORECASE)
-_ASKS_TRANSLATION = regex.compile(r"译|translat|日语|日文|法语|法文|西班牙|德语|德文|韩语|俄语|\bFrench\b|\bSpanish\b|\bGerman\b|\bJapanese\b|\bKorean\b|\bRussian\b", regex.IGNORECASE)
+_ASKS_TRANSLATION = regex.compile(r"翻译|[英中汉日法德俄韩西]译|(?<!编)译(?:成|为|作|出|文|一下|\s*[:：])|(?:请|直|意|笔|口)译|translat|日语|日文|法语|法文|西班牙|德语|德文|韩语|俄语|\bFrench\b|\bSpanish\b|\bGerman\b|\bJapanese\b|\bKorean\b|\bRussian\b", regex.IGNORECASE)
 
 
 def visible_answer(content: str | None) -> str:

@@ -66,3 +66,10 @@ def test_copies_of_questions_about_repeating():
         assert is_copy(q, q)
     for q in ("请原样重复“今天的雨下得很大，我们哪里也去不了，只好待在家里”", "题目：请原样重复：今天的雨下得很大，我们哪里也去不了，只好待在家里"):
         assert not is_copy(q, "今天的雨下得很大，我们哪里也去不了，只好待在家里")
+
+
+def test_a_compiler_asks_for_no_translation():
+    answer = "A container image holds files, and the compiler turns source code into programs."
+    assert wrong_language("容器镜像和编译器有什么区别？", answer) and wrong_language("怎样把源码编译成程序？", answer)
+    for q in ("英译：简单来说，编译器把源码变成程序。", "请译：编译器", "把这句话译成外文：编译器", "翻译这句话"):
+        assert not wrong_language(q, answer)
