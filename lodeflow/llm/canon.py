@@ -23,6 +23,7 @@ SPEAKERS = {"user", "assistant", "system", "human", "用户", "助手", "系统"
 _BREAKS = regex.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 _OBJECT = regex.compile(r"[^\p{L}\p{N}{]*(\{.*\})[^\p{L}\p{N}}]*", regex.DOTALL)
 _INVISIBLE = regex.compile(r"[\p{Cc}\p{Cf}]+")
+_INVISIBLE_IN_LINES = regex.compile(r"[\p{Cc}\p{Cf}--[\r\n\x0b\x0c\x85]]+", regex.V1)
 _OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -75,8 +76,8 @@ def labelled(text: str) -> str | None:
     fields = None
     if "{" in head:
         fields = _fields_of_object(text)
-    elif LABEL.match(text):
-        fields = _fields_of_lines(text)
+    elif LABEL.match(seen := _INVISIBLE_IN_LINES.sub("", text)):
+        fields = _fields_of_lines(seen)
     if not fields:
         return None
     return "".join(k + v for k, v in sorted((flat(k), flat(v)) for k, v in fields))

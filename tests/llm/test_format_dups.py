@@ -54,3 +54,8 @@ def test_flatten_equals_plain(seed):
     points, offsets = canon.flatten(texts)
     got = ["".join(map(chr, points[a:b])) for a, b in zip(offsets, offsets[1:])]
     assert got == [canon.flat(t) for t in texts]
+
+
+def test_invisible_characters_in_labels_of_lines():
+    plain = "instruction: sum it up\noutput: done"
+    assert canon.labelled("instructi\x1fon: sum it up\nout\u200bput: done") == canon.labelled(plain) == canon.labelled('{"output": "done", "instruction": "sum it up"}')
