@@ -21,8 +21,9 @@ from lodeflow.session import materialize
 MIN_CHARS, MAX_CHARS = 32, 100_000
 HASHES, BANDS = 64, 16
 SHINGLE, MOST_SHINGLES = 5, 4096
-#: Odd multipliers of the multiply-shift family, fixed by a seed.
-_A = np.random.default_rng(20260101).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Multipliers of the family, odd numbers below 2**32 fixed by a rule that SQL can repeat.
+MULTIPLIERS = [(k * 2_654_435_769 + 40_503) % (1 << 32) | 1 for k in range(1, HASHES + 1)]
+_BASE, _MIX, _LOW = 1_000_003, 73_244_475, (1 << 32) - 1
 
 
 def gated(table: DataFrame, id_col: str = "row_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -33,26 +34,29 @@ def gated(table: DataFrame, id_col: str = "row_id", text_col: str = "text", min_
     return clean.withColumn("gate", F.when(n < min_chars, "too_short").when(n > max_chars, "too_long"))
 
 
-def outcomes(table: DataFrame, id_col: str = "row_id", text_col: str = "text", dedup: bool = True, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(``id``, ``n_chars``, ``digest``, ``outcome``): too_short, too_long, exact_dup or kept, one of them for every row.
+def _marked(table: DataFrame, id_col: str, text_col: str, min_chars: int, max_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(``id``, ``n_chars``, ``digest``, ``gate``, ``clean``) written once, and (``id``, ``digest``) of the exact duplicates.
 
     Digests are aggregated, not windowed: a text that a third of the rows share is one partial row of each task, and the
-    join back splits hot digests.
+    join back splits hot digests. Only repeated digests are joined back.
     """
-    rows = gated(table, id_col, text_col, min_chars, max_chars).select("id", F.length("clean").cast("bigint").alias("n_chars"), digest(F.col("clean")).alias("digest"), "gate")
-    if not dedup:
-        return rows.select("id", "n_chars", "digest", F.coalesce("gate", F.lit("kept")).alias("outcome"))
+    n = F.length("clean").cast("bigint")
+    rows = gated(table, id_col, text_col, min_chars, max_chars).select("id", n.alias("n_chars"), digest(F.col("clean")).alias("digest"), "gate", "clean")
     rows = materialize(rows, "gated")
-    first = rows.where("gate IS NULL").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    repeated = materialize(first.where("copies > 1"), "repeated")
-    total = rows.count()
-    copies = join_hot_split(rows.where("gate IS NULL"), repeated, ["digest"], "copies", total)
-    unique = first.where("copies = 1").select(F.col("first").alias("id"), "digest")
-    alone = rows.where("gate IS NULL").join(unique, ["id", "digest"], "left_semi")
-    stopped = rows.where("gate IS NOT NULL").select("id", "n_chars", "digest", F.col("gate").alias("outcome"))
-    kept = alone.select("id", "n_chars", "digest", F.lit("kept").alias("outcome"))
-    doubled = copies.select("id", "n_chars", "digest", F.when(F.col("id") == F.col("first"), "kept").otherwise("exact_dup").alias("outcome"))
-    return stopped.unionByName(kept).unionByName(doubled)
+    passed = rows.where("gate IS NULL").select("id", "digest")
+    repeated = materialize(passed.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "repeated")
+    copies = join_hot_split(passed, repeated, ["digest"], "copies", passed.count())
+    return rows, materialize(copies.where("id <> first").select("id", "digest").distinct(), "exact-duplicates")
+
+
+def outcomes(table: DataFrame, id_col: str = "row_id", text_col: str = "text", dedup: bool = True, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(``id``, ``n_chars``, ``digest``, ``outcome``): too_short, too_long, exact_dup or kept, one of them for every row."""
+    if not dedup:
+        rows = gated(table, id_col, text_col, min_chars, max_chars)
+        return rows.select("id", F.length("clean").cast("bigint").alias("n_chars"), digest(F.col("clean")).alias("digest"), F.coalesce("gate", F.lit("kept")).alias("outcome"))
+    rows, dups = _marked(table, id_col, text_col, min_chars, max_chars)
+    flagged = rows.drop("clean").join(dups.withColumn("dup", F.lit("exact_dup")), ["id", "digest"], "left")
+    return flagged.select("id", "n_chars", "digest", F.coalesce("gate", "dup", F.lit("kept")).alias("outcome"))
 
 
 def outcome_counts(found: DataFrame) -> DataFrame:
@@ -61,19 +65,29 @@ def outcome_counts(found: DataFrame) -> DataFrame:
 
 
 def sketch_texts(texts: list[str], shingle: int = SHINGLE, most: int = MOST_SHINGLES) -> np.ndarray:
-    """(n, HASHES) least 31-bit values over a text's strided shingles: a mixed 64-bit hash, then multiply and shift."""
+    """(n, HASHES) least 32-bit values over a text's strided shingles.
+
+    A shingle's code points make a polynomial modulo 2**32, which is mixed by shifts and multiplications; each of the family
+    is a multiplication by an odd number modulo 2**32. All of it is integer arithmetic that SQL can repeat.
+    """
     points, offsets = code_points(texts)
     lengths = np.diff(offsets)
-    padded = np.concatenate((points.astype(np.uint64) + np.uint64(1), np.zeros(shingle, np.uint64)))
+    totals = np.maximum(lengths - shingle + 1, 1)
+    strides = -(-totals // most)
+    taken = -(-totals // strides)
+    first = np.cumsum(taken) - taken
+    places = np.repeat(offsets[:-1], taken) + (np.arange(taken.sum()) - np.repeat(first, taken)) * np.repeat(strides, taken)
+    ends = np.repeat(offsets[1:], taken)
+    padded = np.concatenate((points.astype(np.uint32) + np.uint32(1), np.zeros(shingle, np.uint32)))
+    h = np.zeros(len(places), np.uint32)
+    for k in range(shingle):
+        h = h * np.uint32(_BASE) + np.where(places + k < ends, padded[places + k], np.uint32(0))
+    for _ in range(2):
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(_MIX)
+    h ^= h >> np.uint32(16)
     out = np.empty((len(texts), HASHES), np.int64)
-    for i, n in enumerate(lengths.tolist()):
-        total = max(1, n - shingle + 1)
-        starts = np.arange(0, total, -(-total // most)) + offsets[i]
-        h = np.zeros(len(starts), np.uint64)
-        for k in range(min(shingle, max(n, 1))):
-            h = h * np.uint64(1_000_003) + (padded[starts + k] if n else np.uint64(0))
-        h = mix64(h)
-        out[i] = ((_A[:, None] * h[None, :]) >> np.uint64(33)).min(axis=1).astype(np.int64)
+    for k, a in enumerate(MULTIPLIERS):
+        out[:, k] = np.minimum.reduceat(h * np.uint32(a), first) if len(texts) else 0
     return out
 
 
@@ -82,7 +96,7 @@ def sketches(table: DataFrame, id_col: str = "id", text_col: str = "clean") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", 1_000_000):
                 values = sketch_texts(part.column("text").to_pylist())
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), HASHES).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "sig"])
@@ -140,13 +154,12 @@ def _neighbour_batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "id", "part", "last", "band", "key"])
 
 
-def near_duplicate_drops(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(``id``) of the rows to drop. signed: (``id``, ``sig``).
+def neighbour_similarities(signed: DataFrame) -> DataFrame:
+    """(``a`` before ``id``, ``similarity`` of their sketches) of all neighbours in a bucket. signed: (``id``, ``sig``).
 
-    Rows of a band are ordered by key and id, and only neighbours of one bucket are compared; the later one is dropped at
-    or above the threshold, and still stands as neighbour of the next. A global sort of (band, key, id), without the
-    sketches, does this, so a bucket of any size is spread over tasks; what is left to pair is the last row of a partition
-    with the first of the next, two rows for each partition. The sketches meet for the pairs found only.
+    Rows of a band are ordered by key and id, and only neighbours of one bucket are compared. A global sort of (band, key,
+    id), without the sketches, does this, so a bucket of any size is spread over tasks; what is left to pair is the last row
+    of a partition with the first of the next, two rows for each partition. The sketches meet for the pairs found only.
     """
     ordered = signed.mapInArrow(_banded, "band INT, key BIGINT, id BIGINT").orderBy("band", "key", "id")
     found = materialize(ordered.mapInArrow(_neighbours, _NEIGHBOURS), "neighbours")
@@ -157,26 +170,38 @@ def near_duplicate_drops(signed: DataFrame, threshold: float = 0.8) -> DataFrame
     pairs = found.where("part IS NULL").select("a", "id").unionByName(over).where("a <> id").distinct()
     sides = pairs.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(signed.select("id", F.col("sig").alias("y")), "id")
     equal = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e))
-    return sides.where(equal >= F.lit(threshold * HASHES - 1e-9)).select("id").distinct()
+    return sides.select("a", "id", (equal / F.lit(HASHES)).alias("similarity"))
+
+
+def near_duplicate_drops(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(``id``) of the rows to drop: the later of two neighbours at or above the threshold. A dropped row still stands as
+    neighbour of the next."""
+    return neighbour_similarities(signed).where(F.col("similarity") >= threshold - 1e-9).select("id").distinct()
+
+
+def corpus_stages(table: DataFrame, id_col: str = "row_id", text_col: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The whole job's (``id``, ``n_chars``, ``digest``, ``outcome``), near_dup among them, and (``id``, ``clean``) of what
+    survives. Texts are cleaned once; what is dropped is joined away, so the texts stay where they are if that is little."""
+    rows, dups = _marked(table, id_col, text_col, MIN_CHARS, MAX_CHARS)
+    texts = rows.where("gate IS NULL").join(dups, ["id", "digest"], "left_anti")
+    near = materialize(near_duplicate_drops(materialize(sketches(texts), "sketches"), threshold), "near-duplicates")
+    marks = dups.withColumn("mark", F.lit("exact_dup"))
+    found = rows.drop("clean").join(marks, ["id", "digest"], "left").join(near.withColumn("near", F.lit("near_dup")), "id", "left")
+    found = found.select("id", "n_chars", "digest", F.coalesce("gate", "mark", "near", F.lit("kept")).alias("outcome"))
+    return found, texts.join(near, "id", "left_anti").select("id", "clean")
 
 
 def corpus_outcomes(table: DataFrame, id_col: str = "row_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """Those of ``outcomes``, with near_dup for rows that only the near-duplicate stage drops."""
-    found = materialize(outcomes(table, id_col, text_col), "outcomes")
-    kept = found.where("outcome = 'kept'").select("id")
-    texts = materialize(gated(table, id_col, text_col).where("gate IS NULL").select("id", "clean").join(kept, "id", "left_semi"), "kept-texts")
-    dropped = near_duplicate_drops(materialize(sketches(texts), "sketches"), threshold).withColumn("near", F.lit(True))
-    outcome = F.when(F.col("near") & (F.col("outcome") == "kept"), "near_dup").otherwise(F.col("outcome"))
-    return found.join(dropped, "id", "left").select("id", "n_chars", "digest", outcome.alias("outcome"))
+    return corpus_stages(table, id_col, text_col, threshold)[0]
 
 
 def surviving_texts(table: DataFrame, id_col: str = "row_id", text_col: str = "text", threshold: float = 0.8, near: bool = True) -> DataFrame:
     """(``id``, ``clean``) after cleaning, gates, exact and near duplicates."""
-    kept = outcomes(table, id_col, text_col).where("outcome = 'kept'").select("id")
-    texts = materialize(gated(table, id_col, text_col).where("gate IS NULL").select("id", "clean").join(kept, "id"), "kept-texts")
-    if not near:
-        return texts
-    return texts.join(near_duplicate_drops(materialize(sketches(texts), "sketches"), threshold), "id", "left_anti")
+    if near:
+        return corpus_stages(table, id_col, text_col, threshold)[1]
+    rows, dups = _marked(table, id_col, text_col, MIN_CHARS, MAX_CHARS)
+    return rows.where("gate IS NULL").join(dups, ["id", "digest"], "left_anti").select("id", "clean")
 
 
 def greedy_keep(texts: list[str], threshold: float = 0.8) -> list[int]:

@@ -47,34 +47,41 @@ def place_documents(lengths: list[int], max_len: int) -> list[tuple[int, int, in
 
 
 def with_shards(table: DataFrame, id_col: str = "id", chunk: int = CHUNK) -> DataFrame:
-    """Adds ``shard`` and ``doc``, the ordinal within it, in order of the id. Only ids are sorted."""
-    ranked = ranks(table.select(id_col), [id_col], "_rank")
+    """Adds ``shard`` and ``doc``, the ordinal within it, in order of the id, to a narrow table."""
     shard = F.floor(F.col("_rank") / F.lit(chunk))
-    return table.join(ranked.select(id_col, shard.alias("shard"), (F.col("_rank") - shard * chunk).cast("int").alias("doc")), id_col)
+    return ranks(table, [id_col], "_rank").withColumn("shard", shard).withColumn("doc", (F.col("_rank") - F.col("shard") * chunk).cast("int")).drop("_rank")
 
 
-def pack(table: DataFrame, max_len: int, eos_id: int, pad_id: int = -1, id_col: str = "id", ids_col: str = "ids", labels_col: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(``shard``, ``seq``, ``input_ids``, ``document_ids``, and ``labels`` if a column of labels is given).
-
-    Padding is ``pad_id``, document -1, label -100; an end mark carries its document's id and label -100.
-    """
+def pieces_of(lengths: DataFrame, max_len: int, chunk: int = CHUNK) -> DataFrame:
+    """(``shard``, ``id``, ``doc``, ``seq``, ``start``, ``size``, ``eos``, ``place``) of every piece. lengths: (``id``, ``n``)."""
     if max_len < 2:
         raise ValueError("max_len must be 2 at least")
-    base = materialize(with_shards(table, id_col, chunk), "sharded")
-    lengths = base.select("shard", F.col(id_col).alias("id"), "doc", F.size(ids_col).alias("n"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc")
-        placed = place_documents(pdf["n"].clip(lower=0).tolist(), max_len)
-        out = pd.DataFrame(placed, columns=["doc", "seq", "start", "size", "eos", "place"])
-        out["id"] = pdf["id"].to_numpy()[out["doc"].to_numpy(dtype=int)] if len(out) else []
-        out["doc"] = pdf["doc"].to_numpy()[out["doc"].to_numpy(dtype=int)] if len(out) else []
-        out["shard"] = pdf["shard"].iloc[0]
+        out = pd.DataFrame(place_documents(pdf["n"].clip(lower=0).tolist(), max_len), columns=["doc", "seq", "start", "size", "eos", "place"])
+        at = out["doc"].to_numpy(dtype=int)
+        out["id"], out["doc"], out["shard"] = pdf["id"].to_numpy()[at], pdf["doc"].to_numpy()[at], pdf["shard"].iloc[0]
         return out[["shard", "id", "doc", "seq", "start", "size", "eos", "place"]]
 
-    pieces = lengths.groupBy("shard").applyInPandas(fold, _PIECES)
+    return with_shards(lengths.select("id", "n"), "id", chunk).groupBy("shard").applyInPandas(fold, _PIECES)
+
+
+def piece_counts(pieces: DataFrame, max_len: int) -> DataFrame:
+    """One row: ``sequences``, ``slots`` and real ``tokens``, read off the pieces without any token."""
+    per = pieces.groupBy("shard", "seq").agg(F.sum(F.col("size") + F.col("eos").cast("int")).alias("tokens"))
+    return per.agg(F.count("*").alias("sequences"), (F.count("*") * max_len).alias("slots"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens"))
+
+
+def pack(table: DataFrame, max_len: int, eos_id: int, pad_id: int = -1, id_col: str = "id", ids_col: str = "ids", labels_col: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(``shard``, ``seq``, ``input_ids``, ``document_ids``, and ``labels`` if a column of labels is given).
+
+    Padding is ``pad_id``, document -1, label -100; an end mark carries its document's id and label -100. Ranks and places
+    come from ids and lengths alone; each document meets its pieces once, and what is cut goes to its sequence.
+    """
     sources = {"ids": ids_col} | ({"labels": labels_col} if labels_col else {})
-    joined = pieces.join(base.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"_{k}") for k, c in sources.items())), "id")
+    base = materialize(table.select(F.col(id_col).alias("id"), F.size(ids_col).alias("n"), *(F.col(c).alias(f"_{k}") for k, c in sources.items())), "tokens")
+    joined = materialize(pieces_of(base, max_len, chunk), "pieces").join(base.drop("n"), "id")
     cut = [F.slice(F.col(f"_{k}"), F.col("start") + 1, F.col("size")).cast("array<int>").alias(k) for k in sources]
     rows = joined.select("shard", "seq", "place", "doc", "eos", *cut).repartition("shard", "seq").sortWithinPartitions("shard", "seq", "place")
     fills = {"input_ids": pad_id, "document_ids": -1} | ({"labels": -100} if labels_col else {})

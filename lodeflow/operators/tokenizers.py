@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from pathlib import Path
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,19 +49,25 @@ class ByteTokenizer:
             if part in self.ids:
                 ids.append(self.ids[part])
                 offsets.append((at, at + len(part)))
-            else:
-                for k, c in enumerate(part):
-                    data = c.encode("utf-8", "replace")
-                    ids += [b + self.shift for b in data]
-                    offsets += [(at + k, at + k + 1)] * len(data)
+            elif part:
+                data = np.frombuffer(part.encode("utf-8", "replace"), np.uint8)
+                own = np.cumsum((data & 0xC0) != 0x80) - 1 + at  # each byte's code point
+                ids += (data.astype(np.int32) + self.shift).tolist()
+                offsets += zip(own.tolist(), (own + 1).tolist())
             at += len(part)
         return ids, offsets
 
+    def encode_array(self, text: str) -> np.ndarray:
+        parts = []
+        for part in self.cut.split(text) if "<" in text else [text]:
+            if part in self.ids:
+                parts.append(np.array([self.ids[part]], np.int32))
+            elif part:
+                parts.append(np.frombuffer(part.encode("utf-8", "replace"), np.uint8).astype(np.int32) + np.int32(self.shift))
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.cut.split(text):
-            ids += [self.ids[part]] if part in self.ids else [b + self.shift for b in part.encode("utf-8", "replace")]
-        return ids
+        return self.encode_array(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
         out, run = [], bytearray()
@@ -105,27 +114,36 @@ class FileTokenizer:
 
 
 def profile_vocabulary(path: str) -> dict:
-    """Sizes and parts of a ``tokenizer.json``."""
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+    """Sizes and parts of a ``tokenizer.json``, and of the ``tokenizer_config.json`` beside it, if there is one."""
+    file = Path(path)
+    data = json.loads(file.read_text(encoding="utf-8"))
     model = data.get("model", {})
     kept = {k: data.get(k) for k in ("added_tokens", "pre_tokenizer", "post_processor", "normalizer", "decoder")}
-    return {"vocab_size": len(model.get("vocab", {})), "merges": len(model.get("merges", [])), "model_type": model.get("type")} | kept
+    found = {"vocab_size": len(model.get("vocab", {})), "merges": len(model.get("merges", [])), "model_type": model.get("type")} | kept
+    beside = file.with_name("tokenizer_config.json")
+    config = json.loads(beside.read_text(encoding="utf-8")) if beside.exists() else {}
+    special = {k: v for k, v in config.items() if k.endswith("_token")}
+    return found | {"config_keys": sorted(config), "special_tokens": special, "chat_template": config.get("chat_template")}
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
 
 
 def encode_texts(table: DataFrame, tokenizer: Tokenizer, id_col: str = "id", text_col: str = "clean") -> DataFrame:
-    """(``id``, ``ids`` ARRAY<INT>)."""
+    """(``id``, ``n``, ``ids`` ARRAY<INT>): number of tokens and the tokens. NULL has none."""
     sent = table.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = sent.value
+        encode = getattr(tok, "encode_array", None) or (lambda t: np.array(tok.encode(t), np.int32))
         for batch in batches:
             for part in text_slices(batch, "text"):
-                ids = [sent.value.encode(t) if t is not None else [] for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+                arrays = [encode(t) if t is not None else np.zeros(0, np.int32) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in arrays], pa.int32()), _lists(arrays)], ["id", "n", "ids"])
 
-    return spread(table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id BIGINT, ids ARRAY<INT>")
+    return spread(table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id BIGINT, n INT, ids ARRAY<INT>")
 
 
 def decode_ids(table: DataFrame, tokenizer: Tokenizer, id_col: str = "id", ids_col: str = "ids") -> DataFrame:

@@ -11,10 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeflow.functions import formulas, judge, text, tools
-from lodeflow.operators import chat, dedup, evals, packing, preference, profile
+from lodeflow.operators import chat, dedup, evals, preference, profile
 from lodeflow.operators.tokenizers import ByteTokenizer, encode_texts
-from lodeflow.session import materialize
-from lodeflow.sources import sinks
 from lodeflow.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,12 +74,6 @@ def pipeline_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.outcome_counts(dedup.outcomes(t(spark, sf_dir, "pretrain_t2t")))
 
 
-@query()
-def corpus_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outcomes of the whole job, with the rows that the near-duplicate stage removes."""
-    return dedup.outcome_counts(dedup.corpus_outcomes(t(spark, sf_dir, "pretrain_t2t")))
-
-
 @query(_GATED + "SELECT row_id, outcome FROM o")
 def row_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.outcomes(t(spark, sf_dir, "pretrain_t2t")).select(F.col("id").alias("row_id"), "outcome")
@@ -126,17 +118,6 @@ def least_shingle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_min(F.transform(text.strided_shingles(F.col("text")), F.md5)).alias("least"))
 
 
-@query()
-def near_duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup.surviving_texts(t(spark, sf_dir, "pretrain_t2t"), near=False)
-    return dedup.near_duplicate_drops(materialize(dedup.sketches(kept), "sketches")).select(F.col("id").alias("row_id"))
-
-
-@query()
-def corpus_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.surviving_texts(t(spark, sf_dir, "pretrain_t2t")).select(F.col("id").alias("row_id"), F.length("clean").alias("n_chars"))
-
-
 # ---- profile
 
 _QUANTILES = ", ".join(f"s[1 + least(len(s) - 1, CAST(floor({p} * len(s)) AS BIGINT))] AS {n}" for n, p in profile.QUANTILES.items())
@@ -191,12 +172,6 @@ def tool_marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.marker_counts(rows, raw)
 
 
-@query()
-def tool_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "sft_t2t_mini").select(F.explode("conversations").alias("m")).where("m.tool_calls IS NOT NULL")
-    return profile.shape_counts(rows, F.col("m.tool_calls"))
-
-
 # ---- judging and answers
 
 
@@ -501,15 +476,6 @@ def thinking_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n", *(F.round(c, 9).alias(c) for c in ("think_trigger_rate", "think_share_of_on", "mean_length_ratio")))
 
 
-@query()
-def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sides(spark, sf_dir)
-    on = evals.eval_records(s, F.lit("thinking_on"), F.col("x"), F.col("x"))
-    off = evals.eval_records(s, F.lit("thinking_off"), F.col("x"), F.col("y"))
-    scores = _scored(spark, sf_dir)
-    return evals.quality_gate(evals.sample_metrics(on.unionByName(off), "pair_id"), evals.judge_mean(scores))
-
-
 @query(_SCORED + "SELECT avg(score) AS judge_mean, count(*) AS judge_n FROM s")
 def judge_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.judge_mean(_scored(spark, sf_dir))
@@ -561,22 +527,9 @@ def throughput_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("events"), F.round(F.sum("value") / span, 6).alias("per_second"))
 
 
-@query()
-def needle_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(1, 6).crossJoin(F.broadcast(spark.createDataFrame([(4000,), (8000,), (16000,), (32000,)], "context int")))
-    return rows.withColumn("prompt", text.needle_prompt(F.col("context"), F.col("id"))).withColumn("hit", text.needle_hit(F.col("prompt")))
-
-
 # ---- tokens and packing
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job: clean, gate, exact and near duplicates, tokenize, pack."""
-    tok = ByteTokenizer()
-    ids = encode_texts(dedup.surviving_texts(t(spark, sf_dir, "pretrain_t2t")), tok)
-    return packing.pack(ids, 4096, tok.eos_id)
-
-
 @query(_GATED + "SELECT row_id, strlen(clean) AS tokens FROM o WHERE outcome = 'kept'")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens by the byte tokenizer before near duplicates are dropped; the table's texts hold no control strings."""
@@ -584,30 +537,6 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select(F.col("id").alias("row_id"), F.size("ids").cast("bigint").alias("tokens"))
 
 
-@query()
-def corpus_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the texts that are packed, without near duplicates."""
-    ids = encode_texts(dedup.surviving_texts(t(spark, sf_dir, "pretrain_t2t")), ByteTokenizer())
-    return ids.select(F.col("id").alias("row_id"), F.size("ids").cast("bigint").alias("tokens"))
-
-
-@query()
-def packed_pretrain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir)
-
-
-@query()
-def packed_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.manifest(packing.packed_counts(_packed(spark, sf_dir)), {"source": "pretrain_t2t", "max_len": 4096, "dtype": "int32", "vocab_size": ByteTokenizer().vocab_size})
-
-
-@query()
-def packed_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tok = ByteTokenizer()
-    rows = t(spark, sf_dir, "sft_t2t_mini").groupBy("conv_id").agg(F.min_by("conversations", "ingested_at").alias("conversations"))
-    return packing.pack(chat.labelled(chat.sft_texts(rows), tok, 8192), 8192, tok.eos_id, labels_col="labels")
-
-
 _MARKS = ["<|endoftext|>", "<|im_start|>", "<|im_end|>", "<think>", "</think>", "<tool_call>", "</tool_call>", "<tool_response>", "</tool_response>"]
 _TOKENS = "strlen(x) - (" + " + ".join(f"(strlen(x) - strlen(replace(x, '{m}', ''))) // {len(m)} * {len(m) - 1}" for m in _MARKS) + ")"
 
@@ -625,13 +554,6 @@ def chat_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.join(sized, "id").select("conv_id", "at", "tokens", F.coalesce("fits", F.lit(False)).alias("fits"))
 
 
-@query()
-def supervised_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "sft_t2t_mini").groupBy("conv_id").agg(F.min_by("conversations", "ingested_at").alias("conversations"))
-    found = chat.labelled(chat.sft_texts(rows), ByteTokenizer(), 8192)
-    return found.select(F.col("id").alias("conv_id"), F.size("ids").alias("tokens"), F.size(F.filter("labels", lambda x: x != chat.IGNORED)).alias("supervised"))
-
-
 # ---- formulas
 
 
@@ -666,12 +588,6 @@ def balance_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formulas.balance_loss(routed, 3).select(F.round("loss", 9).alias("loss"))
 
 
-@query()
-def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON text about the conversations."""
-    return profile.report(t(spark, sf_dir, "sft_t2t_mini"))
-
-
 # ---- streams
 
 

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,10 +34,24 @@ def flat_int32(table: DataFrame, column: str, order: list[str]) -> DataFrame:
     return table.orderBy(*order).select(column).mapInArrow(run, "part BIGINT, batch BIGINT, n BIGINT, data BINARY")
 
 
-def manifest(packed_counts: DataFrame, facts: dict) -> DataFrame:
-    """One row of JSON: the facts given and the counts."""
-    fixed = [F.lit(json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list)) else v).alias(k) for k, v in facts.items()]
-    return packed_counts.select(F.to_json(F.struct(*fixed, *packed_counts.columns)).alias("value"))
+def content_digest(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row, ``source_digest``: the bits of all rows' sha256 over id and text, combined by exclusive or.
+
+    Unlike the hash of a file it is made by partial aggregation, whatever the number of files and their layout; the ids make
+    it depend on which row holds which text.
+    """
+    rows = table.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    own = F.conv(F.left(F.sha2(F.concat(F.col(id_col).cast("string"), F.lit(":"), F.col(text_col)), 256), F.lit(15)), 16, 10).cast("bigint")
+    return rows.agg(F.lpad(F.lower(F.hex(F.coalesce(F.bit_xor(own), F.lit(0).cast("bigint")))), 16, "0").alias("source_digest"))
+
+
+def manifest(counts: DataFrame, facts: dict, columns: list[str] | None = None) -> DataFrame:
+    """One row of JSON: the facts given, values or columns, and the counts."""
+
+    def fixed(v: object) -> Column:
+        return v if isinstance(v, Column) else F.lit(json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list)) else v)
+
+    return counts.select(F.to_json(F.struct(*(fixed(v).alias(k) for k, v in facts.items()), *(columns or counts.columns))).alias("value"))
 
 
 def write_lines(table: DataFrame, path: str, mode: str = "overwrite") -> None:
