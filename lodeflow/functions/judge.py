@@ -28,6 +28,10 @@ RUBRIC = """你是一名严格的回答质量裁判。请按以下维度给候
 CONCLUDES = ["因此", "所以", "综上", "答案"]
 
 
+#: Labels of a score, and what stands between a label and its number (fixed values).
+SCORE_LABELS, SCORE_MARKS = ["score", "评分", "分数"], ":：="
+
+
 class Judge(Protocol):
     """Gives a column of scores from 0 to 10; a model-backed judge returns a pandas UDF of the same columns."""
 
@@ -58,7 +62,9 @@ def judge_prompt(question: Column, answer: Column) -> Column:
 
 def parse_score(c: Column) -> Column:
     """The number after a score label, else the last number, kept within 0 and 10; NULL without a number."""
-    labelled = F.regexp_extract(c, r"""(?i)["']?(?:score|评分|分数)["']?\s*[:：=]\s*(-?\d+(?:\.\d+)?)""", 1)
+    quote = "[\"']?"
+    pattern = f"(?i){quote}(?:{'|'.join(SCORE_LABELS)}){quote}" + rf"\s*[{SCORE_MARKS}]\s*(-?\d+(?:\.\d+)?)"
+    labelled = F.regexp_extract(c, pattern, 1)
     numbers = F.regexp_extract_all(c, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1))
     raw = F.coalesce(F.nullif(labelled, F.lit("")), F.try_element_at(numbers, F.lit(-1))).cast("double")
     return F.when(raw.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), raw)))

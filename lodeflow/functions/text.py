@@ -5,13 +5,17 @@ All patterns are Unicode-aware. NULL in gives NULL out unless a docstring says o
 
 from __future__ import annotations
 
+import functools
 import json
-from collections import Counter
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeflow.operators.batches import code_points, mix64
+
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
@@ -70,30 +74,43 @@ def preview(c: Column, n: int = 120) -> Column:
     return F.left(c, F.lit(n))
 
 
-def _repetition(text: str | None, n: int) -> float | None:
-    if text is None:
-        return None
-    text = text.strip()
-    places = len(text) - n + 1
-    if places < 1:
-        return 0.0
-    counts = Counter(text[i : i + n] for i in range(places))
-    return sum(c for c in counts.values() if c > 1) / places
+def _repetition(texts: list[str], n: int) -> np.ndarray:
+    """All texts at once: n-grams as hashes of code points, sorted within their text."""
+    points, offsets = code_points(texts)
+    counts = np.maximum(np.diff(offsets) - n + 1, 0)
+    own = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(offsets[:-1], counts)
+    h = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        h = mix64(h ^ (points[at + k].astype(np.uint64) + np.uint64(1)))
+    order = np.lexsort((h, own))
+    own, h = own[order], h[order]
+    same = (own[1:] == own[:-1]) & (h[1:] == h[:-1])
+    repeated = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(h) else np.zeros(0, bool)
+    return np.bincount(own[repeated], minlength=len(texts)) / np.maximum(counts, 1)
 
 
 def repetition(c: Column, n: int = 4) -> Column:
-    """Share of the places whose n-gram occurs more than once; 0 for texts shorter than n."""
+    """Share of the places whose n-gram occurs more than once; 0 for texts shorter than n, white space at the ends aside."""
 
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: _repetition(t, n)).astype("float64")
+        known = s.notna().to_numpy()
+        out = np.full(len(s), np.nan)
+        if known.any():
+            out[known] = _repetition(s[known].tolist(), n)
+        return pd.Series(out).where(known, None)
+
+    return run(strip(c))
 
-    return run(c)
+
+#: Ending of a multiple-choice prompt (fixed value).
+CHOICE_TAIL = "\n请只回答选项字母（如 A）。"
 
 
 def mc_prompt(question: Column, choices: Column) -> Column:
     lines = F.transform(choices, lambda x, i: F.concat(F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), i + 1, F.lit(1)), F.lit(". "), x))
-    return F.concat(question, F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n请只回答选项字母（如 A）。"))
+    return F.concat(question, F.lit("\n"), F.array_join(lines, "\n"), F.lit(CHOICE_TAIL))
 
 
 def mc_answer(c: Column) -> Column:
@@ -170,28 +187,38 @@ def content_length(messages: Column) -> Column:
     return F.aggregate(messages, F.lit(0).cast("bigint"), lambda a, m: a + F.coalesce(F.length(m["content"]), F.lit(0)))
 
 
-def _shape(value: object, depth: int = 0) -> str:
-    if depth > 4:
-        return "..."
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{k}:{_shape(v, depth + 1)}" for k, v in value.items()) + "}"
-    if isinstance(value, list):
-        return "[" + "|".join(sorted({_shape(v, depth + 1) for v in value})) + "]"
+@functools.singledispatch
+def _shape(value: object, levels: int) -> str:
+    """The name of a scalar's type. Mappings and lists write what their members are, as many levels deep."""
     return type(value).__name__
 
 
-def json_shape(c: Column) -> Column:
-    """The nested types of a JSON text, four levels deep; NULL if it can't be parsed."""
+def _members(values: Iterable, levels: int) -> list[str]:
+    return [_shape(v, levels - 1) if levels else "..." for v in values]
+
+
+@_shape.register
+def _(value: dict, levels: int) -> str:
+    return "{%s}" % ",".join(map(":".join, zip(value, _members(value.values(), levels))))
+
+
+@_shape.register
+def _(value: list, levels: int) -> str:
+    return "[%s]" % "|".join(sorted(set(_members(value, levels))))
+
 
-    def one(text: str | None) -> str | None:
-        try:
-            return _shape(json.loads(text)) if text is not None else None
-        except ValueError:
-            return None
+def json_shape(c: Column, levels: int = 4) -> Column:
+    """The nested types of a JSON text; what lies deeper than ``levels`` is "..."; NULL if it can't be parsed."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
+        out = []
+        for text in s:
+            try:
+                out.append(None if text is None else _shape(json.loads(text), levels))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
 
     return run(c)
 
@@ -210,16 +237,33 @@ NEEDLE = "秘密口令是 7F3K9Q。"
 NEEDLE_KEY = "7F3K9Q"
 
 
+#: Sentences around the haystack (fixed values).
+NEEDLE_HEAD, NEEDLE_TAIL = "下面是上下文，请从中找出隐藏的秘密口令并原样回答。\n上下文：\n", "\n\n问题：秘密口令是什么？"
+
+
+def _hashed(seed: Column, i: Column) -> Column:
+    """28 bits of a digest of two numbers."""
+    return F.conv(F.left(F.md5(F.concat(seed.cast("string"), F.lit(":"), i.cast("string"))), F.lit(7)), 16, 10).cast("int")
+
+
 def needle_prompt(context_len: Column, seed: Column) -> Column:
-    """Filler sentences chosen by a hash of the seed until the length is reached, the phrase laid over at a hashed place."""
+    """Filler sentences chosen by a hash of the seed until the length is reached, the phrase laid over at a hashed place.
+
+    How many sentences it takes is told by their lengths, so the text is put together once.
+    """
     shortest = min(map(len, FILLERS))
     fill = F.array(*(F.lit(x) for x in FILLERS))
-    count = F.ceil(context_len / shortest).cast("int")
-    chosen = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.element_at(fill, (F.pmod(F.xxhash64(seed, i), F.lit(len(FILLERS))) + 1).cast("int")))
-    kept = F.aggregate(chosen, F.lit(""), lambda a, x: F.when(F.length(a) < context_len, F.concat(a, x)).otherwise(a))
-    at = F.pmod(F.xxhash64(seed, F.lit(-1)), F.greatest(F.lit(1), F.length(kept) - 20)).cast("int")
-    hay = F.overlay(kept, F.lit(NEEDLE), at + 1)
-    return F.concat(F.lit("下面是上下文，请从中找出隐藏的秘密口令并原样回答。\n上下文：\n"), hay, F.lit("\n\n问题：秘密口令是什么？"))
+    most = F.greatest(F.ceil(context_len / shortest).cast("int"), F.lit(1))
+
+    def built(chosen: Column) -> Column:
+        start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("taken"))
+        count = F.aggregate(chosen, start, lambda a, x: F.when(a["chars"] < context_len, F.struct((a["chars"] + F.length(x)).alias("chars"), (a["taken"] + 1).alias("taken"))).otherwise(a))
+        hay = F.array_join(F.slice(chosen, F.lit(1), count["taken"]), "")
+        at = _hashed(seed, F.lit(0)) % F.greatest(F.lit(1), count["chars"] - 20)
+        return F.overlay(hay, F.lit(NEEDLE), at + 1)
+
+    chosen = F.transform(F.sequence(F.lit(1), most), lambda i: F.element_at(fill, _hashed(seed, i) % len(FILLERS) + 1))
+    return F.concat(F.lit(NEEDLE_HEAD), F.transform(F.array(chosen), built)[0], F.lit(NEEDLE_TAIL))
 
 
 def needle_hit(output: Column) -> Column:

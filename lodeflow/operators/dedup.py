@@ -154,25 +154,38 @@ def _neighbour_batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "id", "part", "last", "band", "key"])
 
 
-def neighbour_similarities(signed: DataFrame) -> DataFrame:
-    """(``a`` before ``id``, ``similarity`` of their sketches) of all neighbours in a bucket. signed: (``id``, ``sig``).
+def bands_of(signed: DataFrame) -> DataFrame:
+    """(``band``, ``key``, ``id``): the buckets of each row."""
+    return signed.mapInArrow(_banded, "band INT, key BIGINT, id BIGINT")
+
 
-    Rows of a band are ordered by key and id, and only neighbours of one bucket are compared. A global sort of (band, key,
-    id), without the sketches, does this, so a bucket of any size is spread over tasks; what is left to pair is the last row
-    of a partition with the first of the next, two rows for each partition. The sketches meet for the pairs found only.
+def bucket_pairs(bands: DataFrame) -> DataFrame:
+    """(``a`` before ``id``) of all neighbours in a bucket, each pair once.
+
+    A global sort of (band, key, id) puts a bucket's rows side by side, so a bucket of any size is spread over tasks; what is
+    left to pair is the last row of a partition with the first of the next, two rows for each partition.
     """
-    ordered = signed.mapInArrow(_banded, "band INT, key BIGINT, id BIGINT").orderBy("band", "key", "id")
-    found = materialize(ordered.mapInArrow(_neighbours, _NEIGHBOURS), "neighbours")
+    found = materialize(bands.orderBy("band", "key", "id").mapInArrow(_neighbours, _NEIGHBOURS), "neighbours")
     w = Window.orderBy("part", "last")
     before = [F.lag(c).over(w).alias(f"{c}0") for c in ("id", "band", "key")]
     seams = found.where("part IS NOT NULL").select("id", "last", "band", "key", *before)
     over = seams.where("last = 0 AND band = band0 AND key = key0").select(F.col("id0").alias("a"), "id")
-    pairs = found.where("part IS NULL").select("a", "id").unionByName(over).where("a <> id").distinct()
+    return found.where("part IS NULL").select("a", "id").unionByName(over).where("a <> id").distinct()
+
+
+def compared(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(``a``, ``id``, ``similarity`` of their sketches)."""
     sides = pairs.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(signed.select("id", F.col("sig").alias("y")), "id")
     equal = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e))
     return sides.select("a", "id", (equal / F.lit(HASHES)).alias("similarity"))
 
 
+def neighbour_similarities(signed: DataFrame) -> DataFrame:
+    """(``a`` before ``id``, ``similarity``) of all neighbours in a bucket. signed: (``id``, ``sig``). The sketches stay out
+    of the sort and meet for the pairs found only."""
+    return compared(bucket_pairs(bands_of(signed)), signed)
+
+
 def near_duplicate_drops(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(``id``) of the rows to drop: the later of two neighbours at or above the threshold. A dropped row still stands as
     neighbour of the next."""

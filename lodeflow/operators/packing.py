@@ -22,16 +22,17 @@ CHUNK = 200_000
 _PIECES = "shard BIGINT, id BIGINT, doc INT, seq BIGINT, start INT, size INT, eos BOOLEAN, place INT"
 
 
-def place_documents(lengths: list[int], max_len: int) -> list[tuple[int, int, int, int, bool, int]]:
+def place_documents(lengths: list[int], max_len: int, filled: int = 0) -> list[tuple[int, int, int, int, bool, int]]:
     """(document, sequence, first token, tokens, whether an end mark follows, place in the sequence) of every piece.
 
     A document with an end mark fits if its tokens are fewer than the places left; otherwise all places but one are taken
     and the last stays empty. With one place left or none a new sequence begins. Empty documents take no place.
+    filled: places of the first sequence that are taken already.
     """
     if max_len < 2:
         raise ValueError("max_len must be 2 at least")
     out = []
-    seq = used = 0
+    seq, used = 0, filled
     for doc, n in enumerate(lengths):
         start = 0
         while start < n:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeflow.functions.text import strip
 from lodeflow.operators.chat import chat_text, drop_final_empty_assistant, lifted_tools
+from lodeflow.operators.tokenizers import Tokenizer
 
 
 def preference_pairs(table: DataFrame, id_col: str = "pair_id", chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
@@ -26,6 +30,24 @@ def preference_pairs(table: DataFrame, id_col: str = "pair_id", chosen: str = "c
     )
 
 
+def token_pairs(pairs: DataFrame, tokenizer: Tokenizer, max_len: int | None = None) -> DataFrame:
+    """(``id``, ``prompt``, ``chosen``, ``rejected`` as token ids, ``prompt_len``) of ``preference_pairs``.
+
+    Pairs of which a side is longer than ``max_len`` are left out; the prompt's length isn't looked at.
+    """
+    sent = pairs.sparkSession.sparkContext.broadcast(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [pa.array([sent.value.encode(x) for x in batch.column(c).to_pylist()], pa.list_(pa.int32())) for c in ("prompt", "chosen", "rejected")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *ids], ["id", "prompt", "chosen", "rejected"])
+
+    kind = pairs.schema["id"].dataType.simpleString()
+    found = pairs.select("id", "prompt", "chosen", "rejected").mapInArrow(run, f"id {kind}, prompt ARRAY<INT>, chosen ARRAY<INT>, rejected ARRAY<INT>")
+    found = found.withColumn("prompt_len", F.size("prompt"))
+    return found if max_len is None else fitting(found, ["chosen", "rejected"], max_len)
+
+
 def fitting(table: DataFrame, columns: list[str], most: int) -> DataFrame:
     """Rows whose token arrays all have at most ``most`` ids."""
     keep = F.lit(True)
@@ -75,6 +97,16 @@ def best_and_worst(samples: DataFrame, idx: str = "idx", seq: str = "seq", text:
     )
 
 
+def pairs_with_prompts(found: DataFrame, prompts: DataFrame, idx: str = "idx") -> DataFrame:
+    """Best and worst texts with the prompt they answer, by index. prompts: (``idx``, ``prompt_ids``, ``prompt_len``)."""
+    return found.join(prompts.select(idx, F.slice("prompt_ids", F.lit(1), F.col("prompt_len")).alias("prompt_ids")), idx)
+
+
+def samples_with_truth(samples: DataFrame, truths: DataFrame, idx: str = "idx") -> DataFrame:
+    """Samples with the ground truth of their task. truths: (``idx``, ``gt``, ``expect_tool``)."""
+    return samples.join(truths.select(idx, "gt", "expect_tool"), idx)
+
+
 def advantages(samples: DataFrame, idx: str = "idx", reward: str = "reward", eps: float = 1e-6) -> DataFrame:
     """Adds ``advantage``: distance from the group's mean in sample standard deviations; NULL in a group of one.
 
@@ -105,3 +137,13 @@ def keep_last(table: DataFrame, group: list[str], order: str, k: int) -> DataFra
     """The k latest rows of each group."""
     w = Window.partitionBy(*group).orderBy(F.col(order).desc())
     return table.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def first_rows(table: DataFrame, row_id: str, n: int) -> DataFrame:
+    """The rows with the first n ordinals, the same in every run; no sort, and the condition reaches the scan."""
+    return table.where(F.col(row_id) < n)
+
+
+def first_of_kind(records: DataFrame, kind: str, order: str, n: int) -> DataFrame:
+    """The first n records of a kind, by top-n."""
+    return records.where(F.col("kind") == kind).orderBy(order).limit(n)

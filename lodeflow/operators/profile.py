@@ -3,6 +3,8 @@ values is gathered or sorted in one task."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,14 +65,30 @@ def conversation_profile(table: DataFrame, messages: str = "conversations") -> D
 
 
 def uniform_sample(table: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
-    """k rows, each as likely as any other, the same in every run: the smallest hashes of the ids, found by top-k."""
-    return table.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(k)
+    """k rows, each as likely as any other, the same in every run: the smallest digests of the ids, found by top-k."""
+    return table.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(k)
+
+
+def report_rows(table: DataFrame, raw: Column, messages: str = "conversations") -> DataFrame:
+    """(``section``, ``name``, ``value``) of a profile: records, keys, roles, reasoning, markers of tool use, shapes of the
+    tool calls, lengths. Every section is an aggregate of a few rows."""
+    row = lambda df, section, name, value: df.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.col(value).cast("double").alias("value"))
+    some = table.where(F.col(messages).isNotNull())
+    keys = table.select(F.explode(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in table.columns)))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    calls = table.select(F.explode(messages).alias("m")).where("m.tool_calls IS NOT NULL").select("m.tool_calls")
+    parts = [
+        row(table.agg(F.count("*").alias("n")).withColumn("k", F.lit("records")), "count", "k", "n"),
+        row(keys, "key", "key", "n"), row(role_counts(table, messages), "role", "role", "n"), row(marker_counts(some, raw), "marker", "marker", "n"),
+        row(shape_counts(calls, F.col("tool_calls")), "shape", "shape", "n"),
+        row(reasoning_counts(table, messages).unpivot([], ["messages", "records"], "k", "n"), "reasoning", "k", "n"),
+    ]
+    lengths = conversation_profile(table, messages)
+    parts.append(row(lengths.select(*(F.col(c).cast("double") for c in lengths.columns)).unpivot([], lengths.columns, "k", "n"), "char_len", "k", "n"))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-def report(table: DataFrame, messages: str = "conversations") -> DataFrame:
-    """One row of JSON: records, roles, reasoning, lengths. Its parts are one row each, or one for every role."""
-    roles = role_counts(table, messages).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n")))).alias("roles"))
-    lengths = conversation_profile(table, messages)
-    parts = table.agg(F.count("*").alias("records")).crossJoin(F.broadcast(roles)).crossJoin(F.broadcast(reasoning_counts(table, messages).select(F.struct("*").alias("reasoning"))))
-    whole = parts.join(F.broadcast(lengths.select(F.struct("*").alias("char_len"))), F.lit(True), "left")
-    return whole.select(F.to_json(F.struct("*")).alias("value"))
+def report(rows: DataFrame) -> DataFrame:
+    """One row of JSON of ``report_rows``: a mapping of each section. Sections are bounded, so it is a small document."""
+    section = rows.groupBy("section").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("m"))
+    by_name = lambda a, b: F.when(a["section"] < b["section"], -1).when(a["section"] > b["section"], 1).otherwise(0)
+    return section.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "m")), by_name))).alias("value"))

@@ -146,7 +146,7 @@ def encode_texts(table: DataFrame, tokenizer: Tokenizer, id_col: str = "id", tex
     return spread(table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id BIGINT, n INT, ids ARRAY<INT>")
 
 
-def decode_ids(table: DataFrame, tokenizer: Tokenizer, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
+def decode_ids(table: DataFrame, tokenizer: Tokenizer, id_col: str = "id", ids_col: str = "ids", id_type: str = "BIGINT") -> DataFrame:
     """(``id``, ``text``)."""
     sent = table.sparkSession.sparkContext.broadcast(tokenizer)
 
@@ -155,4 +155,4 @@ def decode_ids(table: DataFrame, tokenizer: Tokenizer, id_col: str = "id", ids_c
             texts = [sent.value.decode(x) if x is not None else None for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
-    return table.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id BIGINT, text STRING")
+    return table.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {id_type}, text STRING")

@@ -396,16 +396,15 @@ def offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "sft_t2t_mini").select("conv_id", F.posexplode("conversations").alias("turn", "m")).where("m.tool_calls LIKE '[%'").distinct()
-    body = F.regexp_extract("m.tool_calls", r"(?s)^\[(.*)\]$", 1)
-    return rows.select("conv_id", "turn", F.concat(F.lit("<tool_call>\n"), body, F.lit("\n</tool_call>")).alias("text"))
+    each = F.expr("try_cast(try_parse_json(m.tool_calls) AS ARRAY<VARIANT>)")
+    return rows.select("conv_id", "turn", F.array_join(F.transform(each, lambda v: F.concat(F.lit("<tool_call>\n"), F.to_json(v), F.lit("\n</tool_call>"))), "\n").alias("text"))
 
 
 @query("""
 WITH m AS (SELECT DISTINCT conv_id, unnest(conversations) AS m, generate_subscripts(conversations, 1) - 1 AS turn FROM sft_t2t_mini),
-c AS (SELECT conv_id, turn, m.tool_calls AS j FROM m WHERE m.tool_calls LIKE '[%')
-SELECT conv_id, CAST(turn AS INT) AS turn, json_extract_string(j, '$[0].name') AS name, json_extract_string(j, '$[0].arguments.expression') AS expression,
- CASE WHEN json_extract_string(j, '$[0].name') = 'calculate_math' THEN CAST(split_part(json_extract_string(j, '$[0].arguments.expression'), '*', 1) AS BIGINT) * CAST(split_part(json_extract_string(j, '$[0].arguments.expression'), '*', 2) AS BIGINT) END AS result
-FROM c WHERE json_extract_string(j, '$[0].name') = 'calculate_math'""")
+c AS (SELECT conv_id, turn, unnest(CAST(m.tool_calls AS JSON[])) AS j FROM m WHERE m.tool_calls LIKE '[%' AND json_valid(m.tool_calls)),
+e AS (SELECT conv_id, turn, j->>'$.name' AS name, j->>'$.arguments.expression' AS expression FROM c WHERE j->>'$.name' = 'calculate_math')
+SELECT conv_id, CAST(turn AS INT) AS turn, name, expression, CAST(split_part(expression, '*', 1) AS BIGINT) * CAST(split_part(expression, '*', 2) AS BIGINT) AS result FROM e""")
 def calculated_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _calls(spark, sf_dir).select("conv_id", "turn", F.explode(tools.tool_calls(F.col("text"))).alias("c")).where("c.name = 'calculate_math'")
     return found.select("conv_id", "turn", "c.name", F.get_json_object("c.arguments", "$.expression").alias("expression"), F.get_json_object("c.result", "$.result").cast("bigint").alias("result"))
@@ -604,4 +603,4 @@ def streamed_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
     counts = incremental.windowed_counts(stream, "at", "1 hour", "0 seconds", ["event_type"])
     found = incremental.run_available(counts.select("event_type", F.col("window.start").alias("start"), "n"), "windows", output="complete")
-    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return found.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")

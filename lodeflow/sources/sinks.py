@@ -60,8 +60,34 @@ def write_lines(table: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_shards(table: DataFrame, path: str, idx: str, world: int) -> None:
-    """One folder for each worker's share."""
-    table.withColumn("rank", F.pmod(F.col(idx), F.lit(world))).write.mode("overwrite").partitionBy("rank").json(path)
+    """One folder ``samples_rank=<r>`` for each worker's share, in one pass."""
+    table.withColumn("samples_rank", F.pmod(F.col(idx), F.lit(world))).write.mode("overwrite").partitionBy("samples_rank").json(path)
+
+
+def write_pairs(pairs: DataFrame, path: str, max_len: int) -> None:
+    """Token pairs as dense rows padded with 0, beside their real lengths."""
+    for c in ("prompt", "chosen", "rejected"):
+        pairs = padded(pairs, c, max_len)
+    pairs.write.mode("overwrite").parquet(path)
+
+
+def sample_report(records: DataFrame, metrics: DataFrame, step: int, stamp: str) -> DataFrame:
+    """(``place``, ``line``) of the readable report on sampled outputs: two lines of metrics, then each record in order.
+
+    records: (``place``, ``kind``, ``prompt``, ``output``). metrics: one row.
+    """
+    head = F.concat(
+        F.lit(f"# 定时抽查 step={step}  {stamp}\n# think_trigger_rate="), F.col("think_trigger_rate").cast("string"), F.lit(" length_ratio="), F.col("mean_length_ratio").cast("string"),
+        F.lit(" rep4="), F.col("rep4_mean").cast("string"), F.lit(" ppl="), F.coalesce(F.col("ppl").cast("string"), F.lit("None")), F.lit("\n\n"),
+    )
+    first = metrics.select(F.lit(-1).cast("bigint").alias("place"), head.alias("line"))
+    body = F.concat(F.lit("## ["), "kind", F.lit("] "), "prompt", F.lit("\n"), "output", F.lit("\n\n"))
+    return first.unionByName(records.select(F.col("place").cast("bigint").alias("place"), body.alias("line")))
+
+
+def write_metrics(metrics: DataFrame, path: str, step: int, stamp: str) -> None:
+    """Appends one stamped line to the log of metrics."""
+    write_lines(metrics.select(F.lit(stamp).alias("ts"), F.lit(step).alias("step"), "*"), path, "append")
 
 
 def gate_report(gate: dict) -> str:

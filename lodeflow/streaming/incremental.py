@@ -1,17 +1,24 @@
-"""Streaming variants of the incremental steps. State and progress live in the checkpoint folder, so a restarted query goes
-on where it stopped."""
+"""Streaming variants of the incremental steps. State and progress live in a folder; a query restarted with the same folder
+goes on where it stopped."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lodeflow.functions.text import clean_text, digest
+from lodeflow.operators import dedup
 from lodeflow.operators.dedup import MAX_CHARS, MIN_CHARS
-from lodeflow.session import work_root
+from lodeflow.operators.order import ranks
+from lodeflow.operators.packing import place_documents
+from lodeflow.operators.tokenizers import Tokenizer
+from lodeflow.session import materialize, work_root
 
 
 def clean_stream(stream: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -33,23 +40,90 @@ def windowed_counts(stream: DataFrame, event_time: str, width: str, delay: str,
     return stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width), *by).agg(F.count("*").alias("n"))
 
 
-def run_available(stream: DataFrame, name: str, output: str = "append", each_batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Runs a stream over all that is there, in batches, and returns what it wrote; exactly once by the checkpoint."""
+def run_available(
+    stream: DataFrame, name: str, output: str = "append", each_batch: Callable[[DataFrame, int], None] | None = None, folder: str | None = None, interval: str | None = None
+) -> DataFrame:
+    """Runs a stream over all that is there, in batches, and returns what it has written so far, exactly once.
+
+    folder: where state, progress and output live. A run that names the folder of an earlier one, finished or broken off,
+    goes on where that stopped. Without it a run has a folder of its own. interval: a batch is begun at each such interval
+    of time, and the run ends when nothing is left. With ``each_batch`` the caller's function is the sink and the result is
+    the stream's schema without rows.
+    """
     spark: SparkSession = stream.sparkSession
-    root = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    root = folder or f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(output).option("checkpointLocation", f"{root}/state")
+    writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+    if each_batch:
+        writer = writer.foreachBatch(each_batch)
+    elif output == "append":
+        writer = writer.format("parquet").option("path", f"{root}/out")
+    else:
+        # a version of the changed rows for each batch; a batch that is run again overwrites its own
+        writer = writer.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{root}/out/batch={k}"))
+    running = writer.start()
+    if interval:
+        running.processAllAvailable()
+        running.stop()
+    else:
+        running.awaitTermination()
     if each_batch:
-        writer.outputMode(output).foreachBatch(each_batch).start().awaitTermination()
         return spark.createDataFrame([], stream.schema)
+    if output == "append":
+        return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    found = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{root}/out")
     if output == "complete":
+        return found.join(F.broadcast(found.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
+    return found
 
-        def overwrite(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{root}/out")
 
-        writer.outputMode("complete").foreachBatch(overwrite).start().awaitTermination()
-    else:
-        writer.outputMode(output).format("parquet").option("path", f"{root}/out").start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+def flushed(batch: DataFrame, order: list[str], n: int) -> DataFrame:
+    """Adds ``chunk``: each n rows in order are one, as a bounded buffer would be flushed."""
+    return ranks(batch, order, "_rank").withColumn("chunk", F.floor(F.col("_rank") / F.lit(n))).drop("_rank")
+
+
+_OPEN = "seq BIGINT, doc BIGINT, ids BINARY, docs BINARY"
+
+
+def packed_stream(stream: DataFrame, tokenizer: Tokenizer, max_len: int, id_col: str = "row_id", text_col: str = "clean", lane: str | None = None, pad_id: int = -1) -> DataFrame:
+    """(``lane``, ``seq``, ``input_ids``, ``document_ids``, ``closed``) in update mode: packing goes on across batches.
+
+    What a lane keeps between batches is its open sequence, at most ``max_len`` places. A batch puts out the sequences it
+    closed and the open one as it stands, so the last version of each is the packing of all rows in order of arrival,
+    within a batch of the id. Lanes are packed apart; without one there is a single lane.
+    """
+    eos = tokenizer.eos_id
+
+    def run(key, batches, state):
+        seq, doc, ids, docs = 0, 0, [], []
+        if state.exists:
+            seq, doc, a, b = state.get
+            ids, docs = (np.frombuffer(x, np.int32).tolist() for x in (a, b))
+        out = []
+
+        def put(closed: bool) -> None:
+            room = max_len - len(ids)
+            out.append((key[0], seq, ids + [pad_id] * room, docs + [-1] * room, closed))
+
+        for _, text in sorted((r for pdf in batches for r in zip(pdf["id"].tolist(), pdf["text"].tolist())), key=lambda r: r[0]):
+            tokens, start = tokenizer.encode(text), 0
+            for _, _, start, size, last, _ in place_documents([len(tokens)], max_len, len(ids)):
+                if max_len - len(ids) <= 1:
+                    put(True)
+                    seq, ids, docs = seq + 1, [], []
+                ids += tokens[start : start + size] + [eos] * last
+                docs += [doc] * (size + last)
+                if not last:
+                    ids, docs = ids + [pad_id], docs + [-1]
+            doc += 1
+        if ids:
+            put(False)
+        state.update((seq, doc, np.array(ids, np.int32).tobytes(), np.array(docs, np.int32).tobytes()))
+        yield pd.DataFrame(out, columns=["lane", "seq", "input_ids", "document_ids", "closed"])
+
+    rows = stream.select((F.col(lane) if lane else F.lit(0)).cast("bigint").alias("lane"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kinds = "lane BIGINT, seq BIGINT, input_ids ARRAY<INT>, document_ids ARRAY<INT>, closed BOOLEAN"
+    return rows.groupBy("lane").applyInPandasWithState(run, kinds, _OPEN, "update", GroupStateTimeout.NoTimeout)
 
 
 def every(interval: int, action: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -62,9 +136,16 @@ def every(interval: int, action: Callable[[DataFrame, int], None]) -> Callable[[
     return run
 
 
-def near_new(batch_signed: DataFrame, stored_signed: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(``id``) of the new rows that are near duplicates of stored or earlier new rows; ids of new rows are the larger ones."""
-    from lodeflow.operators.dedup import near_duplicate_drops
+def near_new(batch_signed: DataFrame, stored_signed: DataFrame, threshold: float = 0.8, stored_bands: DataFrame | None = None) -> DataFrame:
+    """(``id``) of the new rows that are near duplicates of stored or earlier new rows; ids of new rows are the larger ones.
 
-    new = batch_signed.select("id")
-    return near_duplicate_drops(stored_signed.unionByName(batch_signed), threshold).join(new, "id", "left_semi")
+    Of what is stored only the last row of each bucket that a new row falls into can be a neighbour, so the stored bands are
+    probed by key and nothing stored is sorted. stored_bands: those of ``dedup.bands_of``, kept beside the sketches.
+    """
+    new = materialize(dedup.bands_of(batch_signed), "new-bands")
+    kept = dedup.bands_of(stored_signed) if stored_bands is None else stored_bands
+    last = kept.join(new.select("band", "key").distinct(), ["band", "key"], "left_semi").groupBy("band", "key").agg(F.max("id").alias("id"))
+    pairs = dedup.bucket_pairs(new.unionByName(last))
+    both = batch_signed.unionByName(stored_signed.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(*batch_signed.columns))
+    near = dedup.compared(pairs, both).where(F.col("similarity") >= threshold - 1e-9).select("id").distinct()
+    return near.join(batch_signed.select("id"), "id", "left_semi")

@@ -1,13 +1,17 @@
 """Readers, writers, streams and the registered queries on the smallest tables."""
 
+import glob
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lodeflow.plans import registry
+from lodeflow.operators import packing
+from lodeflow.operators.tokenizers import ByteTokenizer
+from lodeflow.plans import catalog
 from lodeflow.schemas import CONVERSATION
 from lodeflow.sources import readers, sinks
 from lodeflow.streaming import incremental
@@ -73,10 +77,61 @@ def test_near_new(spark):
     assert [r.id for r in incremental.near_new(new, stored).collect()] == [2]
 
 
+def _rows(frame):
+    """Rows by columns in order of name, numbers rounded, in order."""
+    plain = lambda v: "NULL" if v is None or v != v else repr(round(float(v), 9)) if isinstance(v, float) else str(v)
+    return sorted(tuple(plain(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False))
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for path in glob.glob(f"{SMALL}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path).removesuffix('.parquet')} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
-@pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_registered_query(spark, name):
-    registry.queries()[name](spark, SMALL).count()
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
+def test_registered_query(spark, duck, name):
+    got, sql = catalog.queries()[name](spark, SMALL).toPandas(), catalog.oracle_sql().get(name)
+    if sql:
+        want = duck.sql(sql).df()
+        assert sorted(got.columns) == sorted(want.columns) and _rows(got) == _rows(want)
+
+
+def test_stream_goes_on(spark, tmp_path):
+    """A second run with the folder of the first reads only what has come since; packing goes on across batches."""
+    tok, folder, texts = ByteTokenizer(), str(tmp_path / "run"), ["abcdefgh", "ij", "k" * 23, "", "lmno"]
+    for k, text in enumerate(texts):
+        spark.createDataFrame([(k, text)], "row_id long, clean string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("row_id long, clean string").parquet(str(tmp_path / "in"))
+        found = incremental.run_available(incremental.packed_stream(stream, tok, 8), "p", output="update", folder=folder)
+    last = found.groupBy("seq").agg(F.max_by(F.struct("input_ids", "document_ids"), F.struct("batch", "closed")).alias("v")).orderBy("seq").collect()
+    ids = spark.createDataFrame([(k, tok.encode(x)) for k, x in enumerate(texts)], "id long, ids array<int>")
+    want = packing.pack(ids, 8, tok.eos_id).orderBy("seq").collect()
+    assert [(r.seq, r.v.input_ids, r.v.document_ids) for r in last] == [(r.seq, r.input_ids, r.document_ids) for r in want]
+    assert sorted(r.batch for r in found.select("batch").distinct().collect()) == [0, 1, 2, 3, 4]
+
+
+def test_interval_and_sink(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    counts = incremental.run_available(stream.groupBy((F.col("id") % 2).alias("k")).agg(F.count("*").alias("n")), "c", output="complete", interval="100 milliseconds")
+    assert {r.k: r.n for r in counts.collect()} == {0: 3, 1: 2}
+    assert incremental.flushed(spark.range(5), ["id"], 2).groupBy("chunk").count().orderBy("chunk").collect()[-1]["count"] == 1
+
+
+def test_file_digests(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"x" * 9_000_000)
+    (tmp_path / "b.bin").write_bytes(b"y")
+    (tmp_path / "c.bin").write_bytes(b"")
+    got = readers.file_digests(spark, str(tmp_path / "*.bin"))
+    digests = [r.sha256 for r in got.orderBy("path").collect()]
+    assert digests == [hashlib.sha256(b"x" * 9_000_000).hexdigest(), hashlib.sha256(b"y").hexdigest()]
+    assert readers.ordered_digest(got).first().sha256 == hashlib.sha256("".join(digests).encode()).hexdigest()
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
@@ -88,7 +143,7 @@ def test_entry(spark):
 def test_core_does_not_import_llm():
     import pathlib
 
-    root = pathlib.Path(registry.__file__).parents[1]
+    root = pathlib.Path(catalog.__file__).parents[1]
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "lodeflow.llm" not in path.read_text(encoding="utf-8")

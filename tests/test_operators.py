@@ -279,18 +279,22 @@ def test_losses(spark):
     assert values[0] == 1.0 and values[-1] == pytest.approx(0.1) and values == sorted(values, reverse=True)
 
 
-def test_interrupted_rate():
-    at = lambda step: formulas.interrupted_rate(1000, 0, 10, 1, 1, 1, 0.1, 1.0, 0.1, step)
-    assert at(0) == pytest.approx(0.1) and at(9) == 1.0 and at(100) == pytest.approx(0.1) and at(55) == pytest.approx(0.55)
+def test_interrupted_rate(spark):
+    names = ("sequences", "held_out", "batch", "workers", "accumulate", "epochs", "warmup_share", "rate", "floor")
+    run = F.struct(*(F.lit(v).alias(k) for k, v in zip(names, (1000, 0, 10, 1, 1, 1, 0.1, 1.0, 0.1))))
+    got = {r.id: r.x for r in spark.range(101).select("id", formulas.interrupted_rate(run, F.col("id")).alias("x")).collect()}
+    assert got[0] == pytest.approx(0.1) and got[9] == 1.0 and got[100] == pytest.approx(0.1) and got[55] == pytest.approx(0.55)
 
 
 def test_report(spark):
     import json
 
-    df = spark.createDataFrame([([msg("user", "ab"), msg("assistant", "c", reasoning="r")],), (None,)], CONVERSATION)
-    got = json.loads(profile.report(df).first().value)
-    assert got["records"] == 2 and got["roles"] == {"assistant": 1, "user": 1} and got["char_len"]["total_chars"] == 3 and got["reasoning"] == {"messages": 1, "records": 1}
-    assert json.loads(profile.report(df.where("false")).first().value)["records"] == 0
+    df = spark.createDataFrame([([msg("user", "ab"), msg("assistant", "c", reasoning="r", calls='[{"name": "f"}]')],), (None,)], CONVERSATION)
+    rows = profile.report_rows(df, F.lit("x tool_call"))
+    got = json.loads(profile.report(rows).first().value)
+    assert got["count"]["records"] == 2 and got["role"] == {"assistant": 1, "user": 1} and got["char_len"]["total_chars"] == 3 and got["reasoning"] == {"messages": 1, "records": 1}
+    assert got["key"] == {"conversations": 1} and got["shape"] == {"[{name:str}]": 1} and got["marker"] == {"tool_call": 1}
+    assert json.loads(profile.report(profile.report_rows(df.where("false"), F.lit("x"))).first().value)["count"]["records"] == 0
 
 
 def test_nucleus(spark):

@@ -102,12 +102,17 @@ def test_calculate():
             tools.evaluate(bad)
 
 
-def test_parse_calls():
-    assert tools.parse_calls('<tool_call>{"name": "f", "arguments": "{\\"a\\": 1}"}</tool_call>') == [("f", {"a": 1})]
-    assert tools.parse_calls('<tool_call> {"function": {"name": "f", "arguments": {}}} </tool_call>') == [("f", {})]
-    assert tools.parse_calls("<tool_call>[1]</tool_call><tool_call>{</tool_call>") == []
-    assert tools.parse_calls('<tool_call>{"name": 1, "arguments": {}}</tool_call>') == []
-    assert tools.parse_calls(None) == []
+def test_parsed_calls(spark):
+    texts = [
+        '<tool_call>{"name": "f", "arguments": "{\\"a\\": 1}"}</tool_call>', '<tool_call> {"function": {"name": "f", "arguments": {}}} </tool_call>',
+        "<tool_call>[1]</tool_call><tool_call>{</tool_call>", '<tool_call>{"name": 1, "arguments": {}}</tool_call>', None,
+        '<tool_call>{"name": "f", "arguments": "no json"}</tool_call>', '<tool_call>{"name": "f", "arguments": "[1]"}</tool_call>',
+        '<tool_call>{"function": "x", "name": "f", "arguments": {}}</tool_call>', '<tool_call>{"name": "f"}</tool_call>',
+        '<tool_call>{"name": "f", "arguments": {"x": [1, {"y": "é"}]}}</tool_call> and <tool_call>{"name": "g", "arguments": {}}</tool_call>',
+    ]
+    got = many(spark, tools.parsed_calls(F.col("a")), [(x,) for x in texts], "a string")
+    plain = [[(r["name"], r["arguments"]) for r in x] if x is not None else None for x in got]
+    assert plain == [[("f", '{"a":1}')], [("f", "{}")], [], [], None, [("f", "{}")], [], [], [], [("f", '{"x":[1,{"y":"é"}]}'), ("g", "{}")]]
 
 
 def test_rewards(spark):
