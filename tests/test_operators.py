@@ -311,14 +311,13 @@ def test_config(tmp_path):
 
 
 def test_registered_corpus_queries_drop_near_duplicates(spark, tmp_path):
-    from lodeflow.plans import registry
+    from lodeflow.plans import catalog
 
     base = " ".join(f"word{k} stands here" for k in range(60))
     rows = [(1, base), (2, base + " once"), (3, base), (4, "short"), (5, " ".join(f"{k * 7919} other" for k in range(60)))]
     spark.createDataFrame(rows, "row_id long, text string").write.parquet(str(tmp_path / "pretrain_t2t.parquet"))
-    run = {n: registry.queries()[n](spark, str(tmp_path)) for n in ("corpus_outcomes", "corpus_token_counts", "packed_pretrain", "token_counts")}
+    run = {n: catalog.queries()[n](spark, str(tmp_path)) for n in ("corpus_outcomes", "corpus_token_counts", "corpus_counters", "token_counts")}
     assert {r.outcome: r.n_rows for r in run["corpus_outcomes"].collect()} == {"kept": 2, "near_dup": 1, "exact_dup": 1, "too_short": 1}
     assert sorted(r.row_id for r in run["corpus_token_counts"].collect()) == [1, 5]
     assert sorted(r.row_id for r in run["token_counts"].collect()) == [1, 2, 5]
-    held = sum(sum(x >= 0 for x in r.document_ids) for r in run["packed_pretrain"].collect())
-    assert held == len(rows[0][1]) + len(rows[4][1]) + 2  # each with an end mark
+    assert run["corpus_counters"].first().tokens == len(rows[0][1]) + len(rows[4][1]) + 2  # each with an end mark
