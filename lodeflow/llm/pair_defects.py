@@ -1,10 +1,11 @@
 """Defective answers in conversations and preference pairs.
 
 Openings, the first clauses of every answer, are clustered by verified MinHash. A cluster that recurs across unrelated
-prompts is a template; a template that declines marks a refusal, if the answer holds nothing else. Whether a template declines
-is told by known phrases, and by its place: it stands where they stand, beside the same apologies and offers, in short answers.
-Copies, other languages and answers that break off are told by checks on the answer and the question before it, the nearest
-user message.
+prompts is a template. Templates that decline are told by known phrases to begin with, and then by their place: they stand
+where those stand, beside the same apologies and offers. An answer is a refusal if a declining template is among its opening
+clauses and templates of refusals make up at least half of it, however long it is; an answer that gives something else holds
+clauses that don't recur, which soon outweigh them. Copies, other languages and answers that break off are told by checks on the answer and the
+question before it, the nearest user message.
 
 An answer has at most one defect, the first that holds of: empty, refusal, copy, language, truncated.
 
@@ -16,8 +17,8 @@ in text come out with each of their defects. An empty table gives no rows; other
 
 from __future__ import annotations
 
-import difflib
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeflow.llm import canon
-from lodeflow.llm.near_dups import pieces
 from lodeflow.operators.batches import mix64, spread
+from lodeflow.operators.dedup import bucket_pairs
+from lodeflow.operators.graph import components
 from lodeflow.operators.skew import join_hot_split
 from lodeflow.session import materialize
 
 #: Clauses of an opening; prompts a template recurs across; signature length and rows of a band (recall 0.9998 at 0.8).
 OPENING, PROMPTS, HASHES, ROWS = 4, 3, 36, 3
 SIMILARITY = 0.8
-#: A refusal has no more clauses than this, and beside them no more letters and digits (Chinese, other).
-CLAUSES, REST = 6, (48, 140)
-#: A template of refusals has this share of its answers short. Beside this many declining templates, in this share of its
-#: answers, it is a companion of refusals; one that has companions in this share, but no declining one, declines itself.
-SHORT, KINDS, BESIDE, PLACED = 0.9, 2, 0.3, 0.2
+#: Share of a refusal's letters and digits that may stand outside the templates of refusals.
+REST = 0.5
+#: Templates are learned from answers of at most so many clauses, and letters and digits (Chinese, other); what is learned
+#: holds for answers of any length. A template of refusals has this share of its answers among those.
+LEARNED, SHORT = (6, 48, 140), 0.9
+#: Beside this many declining templates, in this share of its answers, a template is a companion of refusals; one that has
+#: companions in this share, but no declining one, declines itself.
+KINDS, BESIDE, PLACED = 2, 0.3, 0.2
+#: Share of characters, in order, that a copy has in common with the question.
+COPIED = 0.82
 
 _THINK = regex.compile(r"<think>.*?(?:</think>|$)", regex.DOTALL | regex.IGNORECASE)
 _TAGS = regex.compile(r"</?think>", regex.IGNORECASE)
@@ -50,6 +57,7 @@ _HAN, _LATIN = regex.compile(r"\p{Han}"), regex.compile(r"[A-Za-z]+(?:['’-][A-
 _FENCE = regex.compile(r"```.*?(?:```|$)", regex.DOTALL)
 _CODE_LINE = regex.compile(r"^(?:\s{2,}\S|.*[;{}]\s*$|\s*(?:def|for|while|if|let|const|var|return|import|print|SELECT|FROM|GROUP|console)\b.*[(=:].*$)")
 _ITEM = regex.compile(r"^\s*(?:[-*•·]|[（(]?\d{1,3}[)）.、．])\s*\S")
+_NUMBERED = regex.compile(r"^\s*(?:[-*•·]|[（(]?\d{1,3}[)）.、．])\s*\S*[^\d\s.=+-]")
 _ENDED = regex.compile(r"[。！？.!?…~～;；][\p{Pe}\p{Pf}\p{Pi}\"'*_`\s]*$|[\p{Pe}\p{Pf}\"`]\s*$")
 _LEAD = regex.compile(r"^[\s\p{P}\p{S}]*(?:问题|问|提问|用户|q|question|user)\s*[:：]\s*", regex.IGNORECASE)
 _BREAKS_OFF = regex.compile(r"(?:例如|比如|譬如|包括|以及|并且|因为|所以|for example|such as|because|and|or|the)\s*[，,:：、]?\s*$", regex.IGNORECASE)
@@ -63,7 +71,6 @@ _DECLINES = regex.compile(
     r"|(?:outside|beyond|isn'?t something|not something|not a topic)\W+(?:\w+\W+){0,6}(?:discuss|scope|help|assist|answer|offer|able|can|may|talk)",
     regex.IGNORECASE,
 )
-_BUT = regex.compile(r"不过|可以说明|可以这样|下面|以下|here goes|here is|here's|however", regex.IGNORECASE)
 
 #: A question that names the language of the answer.
 _ASKS_EN = regex.compile(r"\bEnglish\b|英文|英语", regex.IGNORECASE)
@@ -119,20 +126,35 @@ def language(text: str, least: float = 3) -> str | None:
     return max(amounts, key=lambda k: amounts[k])
 
 
-def _alike(a: str, b: str) -> float:
-    if not a or not b or min(len(a), len(b)) < 0.6 * max(len(a), len(b)):
+def in_common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, all of ``b`` in the bits of one number, whatever the lengths."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << k
+    whole = (1 << len(b)) - 1
+    row = whole
+    for c in a:
+        if met := places.get(c):
+            both = row & met
+            row = (row + both | row - both) & whole
+    return len(b) - row.bit_count()
+
+
+def _alike(a: str, b: str, least: float = COPIED) -> float:
+    """Share of characters in common, in order, of both; 0 where lengths or characters rule out ``least``."""
+    total = len(a) + len(b)
+    if not a or not b or 2 * min(len(a), len(b)) < least * total:
         return 0.0
-    if len(a) + len(b) > 20_000:  # long texts by their pieces
-        p, q = pieces(a), pieces(b)
-        return len(p & q) / len(p | q)
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    if 2 * (Counter(a) & Counter(b)).total() < least * total:
+        return 0.0
+    return 2 * in_common(a, b) / total
 
 
 def is_copy(question: str, answer: str) -> bool:
-    """Only says the question again, nearly word for word."""
+    """Only says the question again, once or more often, nearly word for word."""
     q, a = canon.flat(question), canon.flat(_LEAD.sub("", answer))
-    whole = _alike(q, a)
-    if whole < 0.82:
+    whole = _alike(q * max(1, round(len(a) / max(1, len(q)))), a)
+    if whole < COPIED:
         return False
     asked = _ASKS_REPEAT.search(question)
     mark = asked and regex.search(r"[:：\n“\"「『]", question[asked.end() :])  # what is to be repeated follows; an ordinary question has no such part
@@ -176,8 +198,12 @@ def breaks_off(answer: str) -> bool:
         return _open_brackets(text)
     if _CODE_LINE.match(last):
         return _open_brackets(text) or last.rstrip()[-1:] in "=+-*/%,.([{:" or False
-    if regex.search(r"[，,、:：(（\[{“‘《—-]\s*$", last):
+    if regex.search(r"[，,、:：(（\[{“‘《—-]\s*$|[，,、:：][\p{Pf}\"]\s*$", last):
         return True
+    if regex.search(r"\d\.$", last) and _HAN.search(last):
+        return True  # at a decimal point
+    if len(lines) > 1 and _NUMBERED.match(lines[-2]) and regex.fullmatch(r"\s*(?:[-*•·]|[（(]?\d{1,3}[)）.、．]?)\s*", last):
+        return True  # at the mark of a further item
     if _ENDED.search(last):
         return False
     if len(lines) > 1 and _ITEM.match(last):
@@ -191,12 +217,12 @@ def breaks_off(answer: str) -> bool:
     return han >= 12 or words >= 7
 
 
-_FACTS = "id BIGINT, field STRING, turn INT, defect STRING, short BOOLEAN, goes_on BOOLEAN, n INT, clauses ARRAY<STRING>, q BIGINT"
+_FACTS = "id BIGINT, field STRING, turn INT, defect STRING, short BOOLEAN, clauses ARRAY<STRING>, q BIGINT"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("id", "field", "turn", "defect", "short", "goes_on", "n", "clauses", "q")}
+        out: dict[str, list] = {k: [] for k in ("id", "field", "turn", "defect", "short", "clauses", "q")}
         for k in range(batch.num_rows):
             question: str | None = None
             for turn, m in enumerate(batch.column("messages")[k].as_py() or ()):
@@ -206,8 +232,9 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     question = m["content"]
                 elif m["role"] == "assistant" and not (m["tool_calls"] or "").strip():
                     answer = visible_answer(m["content"])
+                    letters = len(canon.flat(answer))
                     defect, parts = None, []
-                    if not canon.flat(answer):
+                    if not letters:
                         defect = "empty"
                     else:
                         parts = clauses(answer)
@@ -217,14 +244,11 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             defect = "language"
                         elif breaks_off(answer):
                             defect = "truncated"
-                    short = len(parts) <= CLAUSES and len(canon.flat(answer)) <= REST[0 if _HAN.search(answer) else 1]
-                    values = (
-                        batch.column("id")[k].as_py(), batch.column("field")[k].as_py(), turn, defect, short, bool(_BUT.search(answer)), len(parts),
-                        parts if short else parts[:OPENING], int.from_bytes(_hash(canon.flat(question or "")), "little", signed=True),
-                    )
+                    short = len(parts) <= LEARNED[0] and letters <= LEARNED[1 if _HAN.search(answer) else 2]
+                    values = (batch.column("id")[k].as_py(), batch.column("field")[k].as_py(), turn, defect, short, parts, int.from_bytes(_hash(canon.flat(question or "")), "little", signed=True))
                     for column, v in zip(out.values(), values):
                         column.append(v)
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.int64())
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), kinds)], list(out))
 
 
@@ -239,41 +263,57 @@ def _seeds() -> np.ndarray:
     return mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _grams(text: str) -> set[str]:
-    """Pieces of a clause; clauses are short, so three characters each."""
-    t = canon.flat(text)
-    return {t[k : k + 3] for k in range(max(1, len(t) - 2))} if t else set()
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every piece of three characters of the flat texts; a shorter text is one piece, an empty one none."""
+    points, offsets = canon.flatten(texts)
+    lengths = np.diff(offsets)
+    counts = np.where(lengths > 0, np.maximum(lengths - 2, 1), 0)
+    own = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[:-1][own]
+    padded = np.concatenate((points.astype(np.uint64) + np.uint64(1), np.zeros(2, np.uint64)))
+    h = np.zeros(len(at), np.uint64)
+    for k in range(3):
+        h = (h << np.uint64(21)) | np.where(at + k < offsets[1:][own], padded[at + k], np.uint64(0))
+    return mix64(h), own
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, prompts, band, key) of each clause; its text stays behind."""
     bands = HASHES // ROWS
     for batch in batches:
-        names, texts, counts = (batch.column(c).to_pylist() for c in ("id", "clause", "prompts"))
-        kept, low = [], []
-        for k, clause in enumerate(texts):
-            if grams := _grams(clause):
-                h = np.array([int.from_bytes(_hash(g), "little") for g in grams], np.uint64)
-                low.append(mix64(h[:, None] ^ _seeds()[None, :]).min(axis=0))
-                kept.append(k)
-        least = np.array(low, np.uint64).reshape(len(kept), bands, ROWS)
+        h, own = _grams(batch.column("clause").to_pylist())
+        kept, first = np.unique(own, return_index=True)
+        least = np.empty((len(kept), HASHES), np.uint64)
+        for k, seed in enumerate(_seeds()):
+            least[:, k] = np.minimum.reduceat(mix64(h ^ seed), first) if len(kept) else 0
+        least = least.reshape(len(kept), bands, ROWS)
         key = np.zeros((len(kept), bands), np.uint64)
         for r in range(ROWS):
             key = mix64(key + least[:, :, r])
-        columns = (
-            np.repeat(np.array([names[k] for k in kept], np.int64), bands), np.repeat(np.array([counts[k] for k in kept], np.int64), bands),
-            np.tile(np.arange(bands, dtype=np.int32), len(kept)), key.view(np.int64).ravel(),
-        )
+        names, counts = (np.asarray(batch.column(c))[kept] for c in ("id", "prompts"))
+        columns = (np.repeat(names, bands), np.repeat(counts, bands), np.tile(np.arange(bands, dtype=np.int32), len(kept)), key.view(np.int64).ravel())
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "prompts", "band", "key"])
 
 
+def similarities(one: list[str], two: list[str]) -> np.ndarray:
+    """Share of pieces that each pair of texts has in common, of those in either; exact."""
+    sides = []
+    for texts in (one, two):
+        h, own = _grams(texts)
+        keys, first = np.unique(mix64(own.astype(np.uint64)) + h, return_index=True)  # the text is part of the key
+        sides.append((keys, own[first]))
+    keys, own = (np.concatenate(x) for x in zip(*sides))
+    order = np.argsort(keys, kind="stable")
+    twice = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+    both = np.bincount(own[order][1:][twice], minlength=len(one))
+    either = np.bincount(own, minlength=len(one)) - both
+    return both / np.maximum(either, 1)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        near = []
-        for a, b in zip(batch.column("clause").to_pylist(), batch.column("head").to_pylist()):
-            p, q = _grams(a), _grams(b)
-            near.append(bool(p and q) and len(p & q) >= SIMILARITY * len(p | q))
-        yield batch.filter(pa.array(near, pa.bool_()))
+        near = similarities(batch.column("clause").to_pylist(), batch.column("head").to_pylist()) >= SIMILARITY - 1e-12
+        yield batch.filter(pa.array(near))
 
 
 def _declining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,28 +326,29 @@ def templates(facts: DataFrame, prompts: int = PROMPTS) -> DataFrame:
     """(``clause``, ``template``, ``size``, ``short``, ``declines``): clauses of clusters that recur across prompts, with
     the number of answers and of short ones, and whether the clause says a known phrase.
 
-    Each distinct clause joins the cluster of the most frequent clause of a band it shares, if their similarity is
-    verified. Clauses are counted by prompt with partial counts made before any shuffle, so a clause that a third of the
-    answers share is one row from then on; no pairs within a bucket are made.
+    In each band's bucket a distinct clause meets the most frequent one and the one beside it; what is verified to be alike
+    is linked, and linked clauses are one cluster, also over others between them. Clauses are counted by prompt with partial
+    counts made before any shuffle, so a clause that a third of the answers share is one row from then on; no pairs within a
+    bucket are made. Hot buckets are split.
     """
-    opened = facts.where("n > 0").select("q", F.col("short").cast("long").alias("short"), F.explode("clauses").alias("clause"))
+    said = F.when(F.col("short"), F.col("clauses")).otherwise(F.slice("clauses", 1, OPENING))
+    opened = facts.where(F.size("clauses") > 0).select("q", F.col("short").cast("long").alias("short"), F.explode(said).alias("clause"))
     by_prompt = opened.groupBy("clause", "q").agg(F.count("*").alias("m"), F.sum("short").alias("s"))
     counted = by_prompt.groupBy("clause").agg(F.count("*").alias("prompts"), F.sum("m").alias("size"), F.sum("s").alias("short"))
     distinct = materialize(counted.withColumn("id", F.xxhash64("clause")), "clauses")
     banded = materialize(distinct.select("id", "clause", "prompts").mapInArrow(_bands, "id BIGINT, prompts BIGINT, band INT, key BIGINT"), "bands")
     heads = banded.groupBy("band", "key").agg(F.max(F.struct("prompts", "id")).alias("top"), F.count("*").alias("members")).where("members > 1")
-    joined = join_hot_split(banded.select("id", "band", "key"), heads.select("band", "key", F.col("top.id").alias("head"), "members"), ["band", "key"], "members", banded.count())
-    met = joined.where("id <> head").select("id", "head").distinct()
+    heads = materialize(heads.select("band", "key", F.col("top.id").alias("head"), "members"), "heads")
+    met = join_hot_split(banded.select("id", "band", "key"), heads, ["band", "key"], "members", banded.count()).where("id <> head").select("id", "head")
+    beside = bucket_pairs(banded.select("band", "key", "id").join(heads.select("band", "key"), ["band", "key"], "left_semi")).select(F.col("a").alias("head"), "id")
+    pairs = met.unionByName(beside).select(F.least("id", "head").alias("id"), F.greatest("id", "head").alias("head")).distinct()
     texts = distinct.select("id", "clause")
-    named = met.join(texts, "id").join(texts.select(F.col("id").alias("head"), F.col("clause").alias("head_clause")), "head").select("clause", F.col("head_clause").alias("head"))
-    near = named.mapInArrow(_verified, "clause STRING, head STRING")
-    own = distinct.select("clause", "prompts", F.col("clause").alias("template"))
-    linked = near.join(distinct.select("clause", "prompts"), "clause").select("clause", "prompts", F.col("head").alias("template"))
-    members = materialize(own.unionByName(linked).distinct(), "members")
-    recurring = members.groupBy("template").agg(F.sum("prompts").alias("across")).where(F.col("across") >= prompts)
-    found = members.join(recurring, "template").groupBy("clause").agg(F.max(F.struct("across", "template")).alias("t"))
-    named = found.join(distinct.select("clause", "size", "short"), "clause").select("clause", F.col("t.template").alias("template"), "size", "short")
-    return named.mapInArrow(_declining, "clause STRING, template STRING, size BIGINT, short BIGINT, declines BOOLEAN")
+    named = pairs.join(texts, "id").join(texts.select(F.col("id").alias("head"), F.col("clause").alias("head_clause")), "head").select("id", F.col("head").alias("other"), "clause", F.col("head_clause").alias("head"))
+    near = materialize(named.mapInArrow(_verified, "id BIGINT, other BIGINT, clause STRING, head STRING").select("id", "other"), "alike")
+    labels = components(near, "id", "other")
+    members = materialize(distinct.join(labels, "id", "left").select("id", "clause", "prompts", "size", "short", F.coalesce("label", "id").alias("label")), "members")
+    recurring = members.groupBy("label").agg(F.sum("prompts").alias("across"), F.max_by("clause", F.struct("prompts", "id")).alias("template")).where(F.col("across") >= prompts)
+    return members.join(recurring, "label").select("clause", "template", "size", "short").mapInArrow(_declining, "clause STRING, template STRING, size BIGINT, short BIGINT, declines BOOLEAN")
 
 
 def declining_clauses(facts: DataFrame, named: DataFrame) -> DataFrame:
@@ -352,13 +393,27 @@ def answers(table: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     return spread(rows).mapInArrow(_facts, _FACTS)
 
 
+def refusals(facts: DataFrame, declining: DataFrame) -> DataFrame:
+    """(``id``, ``field``, ``turn``) of the answers that open with a declining clause and hold hardly anything but clauses
+    that recur in such answers to several questions. declining: of ``declining_clauses``."""
+    key, total = ["id", "field", "turn"], facts.count()
+    opened = facts.select(*key, F.explode(F.slice("clauses", 1, OPENING)).alias("clause"))
+    named = join_hot_split(opened, declining, ["clause"], "size", total).select(*key).distinct()
+    spoken = facts.join(named, key, "left_semi").select(*key, "q", F.explode("clauses").alias("clause")).withColumn("letters", F.length(F.replace("clause", F.lit(" "), F.lit(""))))
+    spoken = materialize(spoken, "declining-answers")
+    across = spoken.groupBy("clause", "q").agg(F.count("*").alias("m")).groupBy("clause").agg(F.count("*").alias("prompts"), F.sum("m").alias("size"))
+    known = materialize(across.where(F.col("prompts") >= PROMPTS).select("clause", "size").unionByName(declining).groupBy("clause").agg(F.max("size").alias("size")), "known-clauses")
+    held = join_hot_split(spoken, known, ["clause"], "size", spoken.count()).groupBy(*key).agg(F.sum("letters").alias("held"))
+    whole = spoken.groupBy(*key).agg(F.sum("letters").alias("letters"))
+    return whole.join(held, key).where(F.col("letters") - F.col("held") <= REST * F.col("letters")).select(*key)
+
+
 def defective_answers(sources: list[tuple[DataFrame, str, list[str]]]) -> DataFrame:
     """(``record_id``, ``field``, ``turn``, ``defect``). sources: (table, id column, conversation columns)."""
     facts = materialize(functools.reduce(DataFrame.unionByName, (answers(*s) for s in sources)), "facts")
     declining = materialize(declining_clauses(facts, materialize(templates(facts), "templates")), "declining")
-    opened = facts.where("short AND NOT goes_on").select("id", "field", "turn", F.explode(F.slice("clauses", 1, OPENING)).alias("clause"))
-    refusals = join_hot_split(opened, declining, ["clause"], "size", facts.count()).select("id", "field", "turn", F.lit("refusal").alias("defect"))
+    found = refusals(facts, declining).withColumn("defect", F.lit("refusal"))
     others = facts.where("defect IS NOT NULL").select("id", "field", "turn", "defect")
     rank = F.array_position(F.array(*(F.lit(x) for x in ("empty", "refusal", "copy", "language", "truncated"))), F.col("defect"))
-    best = others.unionByName(refusals).groupBy("id", "field", "turn").agg(F.min(F.struct(rank.alias("r"), F.col("defect").alias("defect"))).alias("d"))
+    best = others.unionByName(found).groupBy("id", "field", "turn").agg(F.min(F.struct(rank.alias("r"), F.col("defect").alias("defect"))).alias("d"))
     return best.select(F.col("id").alias("record_id"), "field", "turn", F.col("d.defect").alias("defect"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodeflow.llm.pair_defects import breaks_off, defective_answers, is_copy, language, wrong_language
+from lodeflow.llm.pair_defects import breaks_off, defective_answers, in_common, is_copy, language, similarities, wrong_language
 
 MSG = "struct<role:string,content:string,tool_calls:string>"
 
@@ -73,3 +73,38 @@ def test_a_compiler_asks_for_no_translation():
     assert wrong_language("容器镜像和编译器有什么区别？", answer) and wrong_language("怎样把源码编译成程序？", answer)
     for q in ("英译：简单来说，编译器把源码变成程序。", "请译：编译器", "把这句话译成外文：编译器", "翻译这句话"):
         assert not wrong_language(q, answer)
+
+
+def test_copies_said_twice_and_long_ones():
+    q = "怎样提纯样品？请举3个例子。"
+    assert is_copy(q, f"{q}\n{q}") and is_copy(q, f"{q} {q} {q}") and not is_copy(q, f"{q}先加热样品，再冷却溶液，最后过滤晶体。")
+    long = "".join(chr(0x4E00 + (k * k * 31) % 5000) for k in range(30_000))
+    assert is_copy(long, long[:12_000] + "改" + long[12_001:]) and not is_copy(long, long[:9_000])
+    assert in_common("abcde", "badce") == 3 and in_common("", "a") == 0
+
+
+def test_breaks_off_at_marks():
+    for a in ("1. 先加热样品。\n2. 再冷却。\n3. ", "1. 先加热样品\n2", "先加热样品。用了19.", "“先加热样品，”"):
+        assert breaks_off(a), a
+    for a in ("1. 2\n2. 3", "= 1230", "共3条。", "He took 19."):
+        assert not breaks_off(a), a
+
+
+def test_long_refusals(spark):
+    """However long, an answer of nothing but recurring clauses of refusals is one; one that goes on isn't."""
+    core, tails = "我无法回答这个问题", ["很遗憾", "希望你能理解", "请咨询专业人士", "建议换一个话题", "感谢你的提问", "如果有别的需要", "请告诉我", "祝你今天过得愉快"]
+    answers = [f"{core}，{tails[k % 8]}，{tails[(k + 1) % 8]}。" for k in range(16)] + [f"{core}，" + "，".join(tails * 2) + "。"] * 3
+    answers += [f"{core}，" + x for x in ("先把样品加热到八十度，再慢慢冷却。", "取决于当年的税收和漕运是否通畅，也要看使节。", "编译器会把源码变成程序，然后再链接。", "守门员要站在球门线上，并且看清来球方向。")]
+    rows = [(k, [("user", f"第{k}个问题是什么意思？", None), ("assistant", a, None)]) for k, a in enumerate(answers)]
+    df = spark.createDataFrame(rows, f"conv_id long, conversations array<{MSG}>")
+    got = {r.record_id for r in defective_answers([(df, "conv_id", ["conversations"])]).collect() if r.defect == "refusal"}
+    assert got == set(range(19))
+
+
+def test_similarities_are_exact():
+    one, two = ["abcdef", "", "ab", "我无法回答"], ["abcdeg", "x", "ab", "我无法提供"]
+    want = []
+    for a, b in zip(one, two):
+        p, q = ({t[k : k + 3] for k in range(max(1, len(t) - 2))} if t else set() for t in (a, b))
+        want.append(len(p & q) / max(1, len(p | q)))
+    assert similarities(one, two).tolist() == pytest.approx(want)
