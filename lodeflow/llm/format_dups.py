@@ -3,11 +3,12 @@
 Canonical form of a text
     * letters and digits only, lower case (white space, control and invisible characters, punctuation, symbols go);
     * where the whole text is one JSON object, or two or more ``label: value`` lines with different labels, the same of
-      each field, the fields in order of label and value. The notation therefore does not matter.
+      each field, the fields in order of label and value, those of objects within too. The notation therefore does not
+      matter.
 
 Defined results
     NULL, empty, blank and all-symbol texts have no canonical form and take no part, nor do rows without an id. A broken
-    JSON object is plain text. A dialogue keeps its order: labels that repeat, have one sign, or name a speaker. Rows that repeat id and text make no
+    JSON object is plain text, unless each of its lines has a label. A dialogue keeps its order: labels that repeat, have one sign, or name a speaker. Rows that repeat id and text make no
     pair, as a pair has two ids. Other columns, whatever their names, are not read. An empty table gives no rows.
 """
 
