@@ -6,8 +6,10 @@ execution merges or splits partitions at run time.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,16 +54,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage, survives the loss of an executor, and gives the optimizer the true size of what follows,
-    so that it broadcasts a table only if it is small. ``cleanup`` removes the folder.
+    so that it broadcasts a table only if it is small. What is written within ``temporaries`` is removed at its end, all
+    else by ``cleanup``.
     """
     spark = df.sparkSession
     path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for written in _OPEN:
+        written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was materialized within it. Write or collect the result inside: it is made from those tables."""
+    written: list[str] = []
+    _OPEN.append(written)
+    try:
+        yield
+    finally:
+        _OPEN.remove(written)
+        for path in written:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete everything this application materialized."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(work_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, work_root(spark))

@@ -2,6 +2,8 @@
 
 import random
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -321,3 +323,20 @@ def test_registered_corpus_queries_drop_near_duplicates(spark, tmp_path):
     assert sorted(r.row_id for r in run["corpus_token_counts"].collect()) == [1, 5]
     assert sorted(r.row_id for r in run["token_counts"].collect()) == [1, 2, 5]
     assert run["corpus_counters"].first().tokens == len(rows[0][1]) + len(rows[4][1]) + 2  # each with an end mark
+
+
+def test_running_sums_and_temporaries(spark):
+    from lodeflow.operators.order import running
+    from lodeflow.session import materialize, temporaries, work_root
+
+    df = spark.createDataFrame([(k, 10 - k) for k in range(10)] + [(3, 7)], "id long, v long").repartition(3)
+    got = sorted((r.id, r.s) for r in running(df, ["id", "v"], "v", "s").collect())
+    want, total = [], 0
+    for k, v in sorted([(k, 10 - k) for k in range(10)] + [(3, 7)]):
+        want.append((k, total))
+        total += v
+    assert got == want
+    with temporaries(spark):
+        path = materialize(df, "gone").inputFiles()[0]
+        assert materialize(df, "gone-too").count() == 11
+    assert work_root(spark) in path and not os.path.exists(path.removeprefix("file://"))
