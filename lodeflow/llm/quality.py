@@ -1,16 +1,20 @@
 """Texts that aren't natural prose: statistics, robust Mahalanobis distance, and the kind of each outlier.
 
-``stats`` measures 18 statistics of each text. Per language (Chinese: at least 0.3 of the letters), mean and covariance of
-prose are estimated robustly over all texts: from medians and quartiles to begin with, then by concentration steps that keep
-the half to three quarters of the texts nearest to the mean. Sums are made by the tasks; the driver sees one row for each
-language and pair of statistics. A text's squared distance is the sum of its statistics' contributions, which are reported.
-
-Texts beyond ``CUT`` are outliers. Whether the larger part of an outlier is prose, list, table or junk is then told part by
-part; full sentences are prose however they are laid out. Prose outliers keep their distance and have no kind.
+1. ``stats`` measures 18 statistics of each text, once. Per language, told by the letters of a text (Chinese, Latin, others),
+   mean and covariance of prose are estimated robustly over all texts: from medians and quartiles to begin with, then by
+   concentration steps that keep the three quarters of the texts nearest to the mean. Sums are made by the tasks; the driver
+   sees one row for each language and pair of statistics.
+2. A text's squared distance is the sum of its statistics' contributions, which are reported. Texts beyond ``CUT``, a quantile
+   of the distances of prose, are outliers; all others are prose.
+3. The kind of an outlier is read off its contributions, with the side of the mean that each statistic is on, by a linear
+   discriminant. It is calibrated on at most ``SAMPLE`` outliers, in the order of a hash, whose larger part has been looked up
+   part by part. Outliers between two kinds (``MARGIN``) are looked up themselves; full sentences are prose however they are
+   laid out. Outliers that read as prose keep their distance and have no kind.
 
 Defined results: NULL, empty and blank texts and rows without id don't count and come out nowhere; repeated rows come out
 repeated from ``score_texts`` and once as cases; other columns are not read; a language with few texts is measured by
-scales of ``FLOOR``; whole texts are used.
+scales of ``FLOOR``; with few outliers the discriminant trusts itself little, so more of them are looked up; whole texts are
+used.
 """
 
 from __future__ import annotations
@@ -27,12 +31,23 @@ from lodeflow.llm.stats import COMMON_EN, COMMON_ZH, NAMES, measure
 from lodeflow.operators.batches import spread, text_slices
 from lodeflow.session import materialize
 
-#: Squared distance of an outlier; twice the number of statistics.
-CUT = 2.0 * len(NAMES)
+def chi_square_quantile(z: float, freedom: int) -> float:
+    """By the cube-root approximation; z: the quantile of the normal distribution."""
+    part = 2 / (9 * freedom)
+    return freedom * (1 - part + z * part**0.5) ** 3
+
+
+#: Squared distance of an outlier: what 0.7 % of prose passes if its statistics are normal (z = 2.457).
+CUT = chi_square_quantile(2.457, len(NAMES))
+#: Outliers the discriminant is calibrated on at most; how far the first kind must be ahead of the second.
+SAMPLE, MARGIN = 4_000, 0.2
+KINDS = ("prose", "list", "table", "junk")
+#: Weight of the penalty on coefficients; number of outliers at which the discriminant trusts itself by half.
+RIDGE, HALF_TRUST = 10.0, 500
 #: Least standard deviation that counts as natural, so that a statistic that prose never shows doesn't decide alone.
 FLOOR = np.array([0.4, 1.0, 0.02, 0.02, 0.04, 0.3, 0.04, 0.12, 0.5, 0.5, 0.12, 0.06, 0.1, 0.04, 0.03, 0.08, 0.3, 0.04])
 STEPS, KEPT = 3, 0.75
-LANGUAGES = ("zh", "en")
+LANGUAGES = ("zh", "en", "other")
 
 #: Words of page furniture (fixed values).
 FURNITURE = set(
@@ -165,14 +180,22 @@ def larger_part(text: str) -> str:
     return max(weight, key=lambda k: weight[k])
 
 
+_STATS = "id BIGINT, h BIGINT, lang INT, s BINARY"
+
+
+def languages(values: np.ndarray, chinese: np.ndarray) -> np.ndarray:
+    """Place in ``LANGUAGES`` of each text: Chinese from 0.3 of the letters on, others from more than half on."""
+    return np.where(chinese >= 0.3, 0, np.where(values[:, NAMES.index("strange")] > 0.5, 2, 1)).astype(np.int32)
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch, "text", 1_500_000):
             values, chinese, visible = measure(part.column("text").to_pylist())
             some = np.flatnonzero(visible > 0)
-            langs = np.where(chinese[some] >= 0.3, 0, 1).astype(np.int32)
             rows = [r.tobytes() for r in values[some].astype(np.float32)]
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.int32()), pa.array(rows, pa.binary())], ["lang", "s"])
+            kept = part.take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("h"), pa.array(languages(values, chinese)[some], pa.int32()), pa.array(rows, pa.binary())], ["id", "h", "lang", "s"])
 
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -220,10 +243,8 @@ def _sums(limits: dict):
     return run
 
 
-def fit_prose(table: DataFrame, text_col: str = "text") -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each language the mean of prose and the inverse of its covariance, over all texts."""
-    rows = table.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    stats = materialize(spread(rows).mapInArrow(_statistics, "lang INT, s BINARY"), "stats")
+def fit_prose(stats: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each language the mean of prose and the inverse of its covariance, over all texts. stats: of ``_statistics``."""
     p = len(NAMES)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,14 +252,14 @@ def fit_prose(table: DataFrame, text_col: str = "text") -> dict[int, tuple[np.nd
             langs, s = _matrix(batch)
             yield pa.RecordBatch.from_arrays([pa.array(langs), *(pa.array(s[:, k]) for k in range(p))], ["lang", *NAMES])
 
-    columns = stats.mapInArrow(opened, "lang INT, " + ", ".join(f"{n} DOUBLE" for n in NAMES))
+    columns = stats.select("lang", "s").mapInArrow(opened, "lang INT, " + ", ".join(f"{n} DOUBLE" for n in NAMES))
     quartiles = columns.groupBy("lang").agg(*(F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(n) for n in NAMES)).collect()
     model = {}
     for r in quartiles:
         q = np.array([r[n] for n in NAMES])
         model[r.lang] = (q[:, 1], np.diag(1 / (((q[:, 2] - q[:, 0]) / 1.35) ** 2 + FLOOR**2)))
     for _ in range(STEPS):
-        scored = stats.mapInArrow(_with_distance(model), "lang INT, s BINARY, d DOUBLE")
+        scored = stats.select("lang", "s").mapInArrow(_with_distance(model), "lang INT, s BINARY, d DOUBLE")
         limits = {r.lang: r.q for r in scored.groupBy("lang").agg(F.percentile_approx("d", KEPT, 1000).alias("q")).collect()}
         if not limits:
             break
@@ -256,36 +277,83 @@ def fit_prose(table: DataFrame, text_col: str = "text") -> dict[int, tuple[np.nd
     return model
 
 
-def score_texts(table: DataFrame, id_col: str = "row_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """Each text with ``lang``, ``distance``, ``outlier``, ``kind`` (NULL for prose), its statistics and their contributions."""
-    model = fit_prose(table, text_col)
-    p = len(NAMES)
+def _measured(model: dict, langs: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(squared distance, contributions, what the discriminant reads: signed contributions and distances from the mean)."""
+    d, parts, off = np.zeros(len(s)), np.zeros_like(s), np.zeros_like(s)
+    for lang, (mean, inverse) in model.items():
+        own = langs == lang
+        d[own], parts[own] = distances(s[own], mean, inverse)
+        off[own] = (s[own] - mean) * np.sqrt(np.diag(inverse))
+    read = np.hstack((parts * np.sign(off) / np.sqrt(1 + d)[:, None], np.clip(off, -20, 20), np.ones((len(s), 1))))
+    return d, parts, read
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def fit_kinds(stats: DataFrame, rows: DataFrame, model: dict, cut: float, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """(coefficients of each kind, trust) of the discriminant. What is gathered is bounded by ``sample``."""
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 1_500_000):
-                texts = part.column("text").to_pylist()
-                values, chinese, visible = measure(texts)
-                langs = np.where(chinese >= 0.3, 0, 1)
-                d, parts = np.zeros(len(texts)), np.zeros((len(texts), p))
-                for lang, (mean, inverse) in model.items():
-                    own = langs == lang
-                    d[own], parts[own] = distances(values[own], mean, inverse)
-                kinds = [larger_part(t) if v > 0 and x > cut else None for t, x, v in zip(texts, d, visible)]
-                out = pa.table({
-                    "id": part.column("id"),
-                    "lang": pa.array([LANGUAGES[k] for k in langs]),
-                    "distance": pa.array(d),
-                    "outlier": pa.array(d > cut),
-                    "kind": pa.array([None if k == "prose" else k for k in kinds], pa.string()),
-                    "statistics": pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), p).cast(pa.list_(pa.float64())),
-                    "contributions": pa.FixedSizeListArray.from_arrays(pa.array(parts.ravel()), p).cast(pa.list_(pa.float64())),
-                })
-                yield from out.filter(pa.array(visible > 0)).to_batches()
+            if batch.num_rows:
+                d = _measured(model, *_matrix(batch))[0]
+                yield batch.filter(pa.array(d > cut))
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [larger_part(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("s"), pa.array(kinds, pa.string())], ["lang", "s", "kind"])
+
+    chosen = stats.mapInArrow(beyond, _STATS).dropDuplicates(["id", "h"]).orderBy(F.xxhash64("id", "h"), "id", "h").limit(sample)
+    # at most ``sample`` rows, whatever the table holds
+    found = rows.join(F.broadcast(chosen), ["id", "h"]).select("lang", "s", "text").mapInArrow(looked_up, "lang INT, s BINARY, kind STRING").toPandas()
+    width = 2 * len(NAMES) + 1
+    if not len(found):
+        return np.zeros((width, len(KINDS))), 0.0
+    s = np.frombuffer(b"".join(found["s"]), np.float32).reshape(len(found), len(NAMES)).astype(np.float64)
+    read = _measured(model, found["lang"].to_numpy(), s)[2]
+    wanted = (found["kind"].to_numpy()[:, None] == np.array(KINDS)).astype(float)
+    weights = np.linalg.solve(read.T @ read + RIDGE * np.eye(width), read.T @ wanted)
+    return weights, len(found) / (len(found) + HALF_TRUST)
 
+
+def score_texts(table: DataFrame, id_col: str = "row_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """Each text with ``lang``, ``distance``, ``outlier``, ``kind`` (NULL for prose), ``looked_up`` (whether its parts decided),
+    its statistics and their contributions."""
     rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    kinds = "id BIGINT, lang STRING, distance DOUBLE, outlier BOOLEAN, kind STRING, statistics ARRAY<DOUBLE>, contributions ARRAY<DOUBLE>"
-    return spread(rows).mapInArrow(score, kinds).withColumnRenamed("id", id_col)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    stats = materialize(spread(rows).mapInArrow(_statistics, _STATS), "stats")
+    model = fit_prose(stats)
+    weights, trust = fit_kinds(stats, rows, model, cut)
+    p = len(NAMES)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            langs, s = _matrix(batch)
+            d, parts, read = _measured(model, langs, s)
+            scores = read @ weights
+            ordered = np.sort(scores, axis=1)
+            open_ = (d > cut) & ((ordered[:, -1] - ordered[:, -2]) * trust < MARGIN)
+            best = scores.argmax(axis=1)
+            kinds = [KINDS[k] if far and k and not o else None for k, far, o in zip(best, d > cut, open_)]
+            lists = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), p).cast(pa.list_(pa.float64())) for x in (s, parts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("h"), pa.array([LANGUAGES[k] for k in langs]), pa.array(d), pa.array(d > cut), pa.array(kinds, pa.string()), pa.array(open_), *lists],
+                ["id", "h", "lang", "distance", "outlier", "kind", "looked_up", "statistics", "contributions"],
+            )
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                kinds = [None if (k := larger_part(t)) == "prose" else k for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(kinds, pa.string())], ["id", "h", "part"])
+
+    kind = "id BIGINT, h BIGINT, lang STRING, distance DOUBLE, outlier BOOLEAN, kind STRING, looked_up BOOLEAN, statistics ARRAY<DOUBLE>, contributions ARRAY<DOUBLE>"
+    found = stats.mapInArrow(decide, kind)
+    between = materialize(found.where("looked_up").select("id", "h").distinct(), "between-kinds")
+    parts = rows.join(between, ["id", "h"]).select("id", "h", "text").mapInArrow(looked_up, "id BIGINT, h BIGINT, part STRING").distinct()
+    decided = found.where("NOT looked_up").unionByName(found.where("looked_up").join(parts, ["id", "h"]).withColumn("kind", F.col("part")).drop("part"))
+    return decided.drop("h").withColumnRenamed("id", id_col)
 
 
 def not_prose(table: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
