@@ -11,8 +11,10 @@ as the capacity, whatever the number of items:
 3. The actual items, by rank, take the places of the rounded ones.
 4. Small items, longest first, go where they leave the least room.
 
-The plan is a list of runs: items of one length and a range of ranks go to a range of containers. Items get their rank by
-counts of (length, bucket) and row numbers within; a bucket is a hash of the id, so no task holds all items of a length.
+The plan is a list of runs: items of one length and a range of ranks go to a range of containers. Items are sorted by length
+and id in ranges; an item's rank is its ordinal less the number of shorter items, which the histogram tells, so no task holds
+all items of a length and nothing but the histogram and the plan is sent round. With few different lengths no rounding is
+needed, as groups of one length each lose nothing; it is the same grouping with the finest groups.
 An item longer than the capacity fills containers of its own and its rest is packed like an item.
 
 Defined results: NULL and empty items and rows without id take no part. Repeated rows are items of their own. The result
@@ -27,18 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeflow.operators.order import ranks, running
 from lodeflow.session import materialize
 
 LARGE, GROUPS = 8, 24
-#: Rows of a bucket that ranks its items, about.
-BUCKET_ROWS = 50_000
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], float]]:
-    """(items of each size, containers) of the linear program's optimum. sizes: each at most ``capacity``."""
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 4_000) -> list[tuple[list[int], float]]:
+    """(items of each size, containers) of the linear program's optimum. sizes: each at most ``capacity``.
+
+    A round adds one configuration; a program of 48 sizes ends after a few hundred, and stopping earlier would cost room only.
+    """
     m = len(sizes)
     basis = np.zeros((m, m))
     for i, s in enumerate(sizes):
@@ -209,42 +213,34 @@ def pack_items(items: DataFrame, capacity: int, id_col: str = "id", length_col:
         raise ValueError("capacity must be positive")
     rows = items.select(F.col(id_col).cast("bigint").alias("id"), F.col(length_col).cast("bigint").alias("total")).where("id IS NOT NULL AND total > 0")
     cut = rows.withColumn("pieces", F.expr(f"total div {capacity}")).withColumn("length", F.expr(f"total - pieces * {capacity}"))
-    cut = cut.withColumn("copy", F.row_number().over(Window.partitionBy("id", "total").orderBy("id")).cast("bigint"))
     base = materialize(cut, "items")
-    n = base.count()
-    buckets = max(16, n // BUCKET_ROWS)
-    tails = base.where("length > 0").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    counted = materialize(tails.groupBy("length", "bucket").agg(F.count("*").alias("n")), "length-counts")
-    histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    tails = base.where("length > 0").select("id", F.col("pieces").alias("part"), "length")
+    #: At most as many rows as the capacity.
+    histogram = {r.length: r.n for r in tails.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_containers(histogram, capacity)
-    sent = items.sparkSession.sparkContext.broadcast(plan.arrays())
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("length", "bucket").orderBy("id", "total", "copy")
-    ranked = tails.withColumn("place", F.row_number().over(within)).join(offsets, ["length", "bucket"])
-    ranked = ranked.select("id", F.col("pieces").alias("part"), "length", (F.col("offset") + F.col("place") - 1).alias("rank"))
+    below = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        below[length + 1 :] += n
+    sent = items.sparkSession.sparkContext.broadcast((plan.arrays(), below))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = sent.value
+        runs, below = sent.value
         # one sortable key of length and first rank
         span = int(runs["lo"].max(initial=0)) + 1
         keys = runs["length"] * span + runs["lo"]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            length, rank = np.asarray(batch.column("length")), np.asarray(batch.column("rank"))
+            length = np.asarray(batch.column("length"))
+            rank = np.asarray(batch.column("ordinal")) - below[length]
             at = np.searchsorted(keys, length * span + np.minimum(rank, span - 1), "right") - 1
             container = runs["container"][at] + (rank - runs["lo"][at]) // runs["per"][at]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), batch.column("length"), pa.array(container)], ["id", "part", "length", "container"])
 
-    packed = ranked.mapInArrow(place, "id BIGINT, part BIGINT, length BIGINT, container BIGINT")
-    long = base.where("pieces > 0")
-    bucketed = long.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    heads = bucketed.groupBy("bucket").agg(F.sum("pieces").alias("n"))
-    heads = heads.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    running = F.sum("pieces").over(Window.partitionBy("bucket").orderBy("id", "total", "copy").rowsBetween(Window.unboundedPreceding, -1))
-    placed = bucketed.withColumn("done", F.coalesce(running, F.lit(0))).join(heads, "bucket")
-    placed = placed.select("id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("part"), (F.col("offset") + F.col("done") + plan.containers).alias("start"))
+    ordered = ranks(tails, ["length", "id", "part"], "ordinal").select("id", "part", "length", "ordinal")
+    packed = ordered.mapInArrow(place, "id BIGINT, part BIGINT, length BIGINT, container BIGINT")
+    done = running(base.where("pieces > 0").select("id", "total", "pieces"), ["id", "total"], "pieces", "done")
+    placed = done.select("id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("part"), (F.col("done") + plan.containers).alias("start"))
     full = placed.select("id", F.col("part").cast("bigint").alias("part"), F.lit(capacity).cast("bigint").alias("length"), (F.col("start") + F.col("part")).alias("container"))
     return packed.unionByName(full).withColumnRenamed("id", id_col)
 
