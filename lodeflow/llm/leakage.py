@@ -4,12 +4,13 @@ Texts are reduced to lower-case letters and digits; shingles are all substrings
 windows of 512 shingles that overlap by half, so a passage of up to 256 shingles lies in one window whole, and a longer
 one has 256 in one. Windows are partitioned by size. A partition with at most u shingles has so many MinHash bins that an
 item of which ``LEAST`` is contained shares 12 bins with the window on average; 4 shared bins make a candidate. Items of
-fewer than ``SHORT`` shingles are looked up by every shingle. Items meet documents inside the tasks: no row is shuffled.
+fewer than ``SHORT`` shingles are looked up by every shingle (see below). Items meet documents inside the tasks: no row is shuffled.
 
 Each candidate is verified on the exact shingles: those on one diagonal of the two texts are laid over the item, and the
 best unbroken passage is scored as covered characters less twice those not covered, as a share of the item. A passage of
 half the item with a few words changed scores above 0.45; a question of the same form with other particulars scores below,
-as what differs is spread all over it.
+as what differs is spread all over it. An item of fewer than ``SHORT`` shingles would need about as many bins as a window has
+shingles, so that each shingle has a bin of its own: looking up every shingle is that limit of the search.
 
 Defined results: NULL, blank and all-symbol texts on either side match nothing; an item or document that is repeated gives
 each pair once; rows without id take no part; whole texts are used; other columns are not read. Items are taken in blocks
@@ -35,7 +36,7 @@ WINDOW, STEP = 512, 256
 PARTITIONS = (128, 256, WINDOW)
 LEAST, SHARED, NEEDED, SHORT = 0.3, 12, 4, 48
 SCORE, GAP, BAND = 0.45, 2.0, 16
-BLOCK = 5_000
+BLOCK = 20_000
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -111,10 +112,10 @@ class Items:
         doc = np.repeat(np.arange(len(texts)), per)
         first = ends[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * STEP
         size = np.minimum(WINDOW, ends[doc + 1] - first)
-        met = np.zeros((len(texts), len(self.ids)), bool)
+        met: list[np.ndarray] = []  # text * number of items + item
         for (lower, limit), table in zip(zip((0, *PARTITIONS), PARTITIONS), self.tables):
             chosen = np.flatnonzero((size > lower) & (size <= limit))
-            for some in np.array_split(chosen, len(chosen) // max(64, 2_000_000 // max(1, len(self.ids))) + 1):
+            for some in np.array_split(chosen, len(chosen) // 4096 + 1):
                 if not len(some):
                     continue
                 at = np.repeat(first[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(size[some].sum())
@@ -123,14 +124,14 @@ class Items:
                     least = _bin_values(h[at], owner, len(some), bins_of(limit))
                     windows, _ = np.nonzero(least != _NONE)
                     w, item = self._look_up(table, least[least != _NONE], windows)
-                    shared = np.bincount(w * len(self.ids) + item, minlength=len(some) * len(self.ids))
-                    w, item = np.divmod(np.flatnonzero(shared >= NEEDED), len(self.ids))
-                    met[doc[some[w]], item] = True
+                    pairs, shared = np.unique(w * len(self.ids) + item, return_counts=True)
+                    w, item = np.divmod(pairs[shared >= NEEDED], len(self.ids))
+                    met.append(doc[some[w]] * len(self.ids) + item)
                 if len(self.short[0]):
                     w, item = self._look_up(self.short, h[at], owner)
-                    met[doc[some[w]], item] = True
+                    met.append(np.unique(doc[some[w]] * len(self.ids) + item))
         out: dict[tuple[int, int], float] = {}
-        for d, item, lo, hi in self._aligned(h, ends, met):
+        for d, item, lo, hi in self._aligned(h, ends, np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)):
             score = self.verify(item, h[lo:hi])
             if score >= SCORE and score > out.get((d, item), 0):
                 out[d, item] = score
@@ -139,10 +140,12 @@ class Items:
     def _aligned(self, h: np.ndarray, ends: np.ndarray, met: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """Of the pairs met those that share enough shingles on neighbouring diagonals: (text, item, stretch of h)."""
         doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        some = np.flatnonzero(met.any(axis=1)[doc])
+        some = np.flatnonzero(np.isin(doc, met // max(1, len(self.ids))))
         p, code = self._look_up(self.all, h[some], some)
         item, k = code >> 32, code & 0xFFFFFFFF
-        kept = met[doc[p], item]
+        pair = doc[p] * len(self.ids) + item
+        at = np.minimum(np.searchsorted(met, pair), max(0, len(met) - 1))
+        kept = met[at] == pair if len(met) else np.zeros(len(pair), bool)
         p, item, k = p[kept], item[kept], k[kept]
         reach = int(self.lengths.max(initial=0)) // BAND + 2
         bands = len(h) // BAND + 2 * reach

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lodeflow.llm import leakage
 from lodeflow.llm.leakage import Items, leaked_items
 
 Q = "The group in Dunwick received 9435 crates of the fossil bed, and Sovvok had used 7419 of them to compare lines. Item 6 later absorbs the infrared band. What can be concluded from this?"
@@ -65,3 +66,35 @@ def test_search_misses_nothing(seed):
         h = mix64(piece_hashes(*canon.flatten([text]))[0])
         want |= {(d, i) for i in range(len(items)) if ready.verify(i, h) >= 0.45}
     assert got == want and len(want) > 30
+
+
+def test_many_items_some_short(spark):
+    """More items than one block holds, from 10 characters on: all found where they stand, wholly or by half."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+    sizes = {k: (10 if k % 4 == 0 else 40 if k % 4 == 1 else 90 if k % 4 == 2 else 200) for k in range(leakage.BLOCK + 500)}
+    items = []
+    for k, n in sizes.items():
+        text = ""
+        while len(text) < n:
+            text += word() + ("" if len(text) + 12 > n else " ")
+        items.append((k, text[: max(n, 10)]))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    docs, want = [], set()
+    for d in range(60):
+        k = rng.randrange(len(items))
+        text = items[k][1]
+        docs.append((d, f"{fill(40)} {text} {fill(60)}"))
+        want.add((d, k))
+        j = rng.choice([i for i in range(2, 4000, 4)])
+        docs.append((1000 + d, f"{fill(30)} {items[j][1][: round(len(items[j][1]) * 0.6)]} {fill(200)}"))
+        want.add((1000 + d, j))
+    docs += [(5000 + d, fill(100)) for d in range(40)]
+    got = leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string"))
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert want <= found
+    text_of = dict(docs)
+    for d, k in found - want:  # half of ten letters, five in a row, also occur by chance
+        own = items[k][1].replace(" ", "")
+        flat = text_of[d].replace(" ", "")
+        assert k % 4 == 0 and any(own[j : j + len(own) // 2] in flat for j in range(len(own) - len(own) // 2 + 1))
