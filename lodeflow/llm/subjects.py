@@ -2,8 +2,8 @@
 
 Sentences of labelled documents become transactions of terms and the document's subject. Terms are substrings of 2 to 5
 Chinese characters, and words and pairs of words elsewhere, that are frequent and lean to one subject; each sentence is cut
-into them from the left, the longest first. Frequent itemsets with a subject are mined by parallel frequent-pattern growth;
-a rule that is no surer than one with fewer terms is redundant and pruned. A rule's evidence is its log-odds ratio,
+into them from the left, the longest first. Frequent patterns with a subject are mined by parallel frequent-pattern growth,
+from the conditional base of each term, as deep as rules have terms; a rule that is no surer than one with fewer terms is redundant and pruned. A rule's evidence is its log-odds ratio,
 calibrated by smoothed counts. Every document is scored sentence by sentence: a sentence counts, by its length, for the
 subject with the most evidence, and a document has each subject whose share of it reaches a threshold calibrated on the
 labelled documents.
@@ -26,7 +26,6 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,6 +207,26 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(parts, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["term", "subject", "n", "docs"])
 
 
+def grown_once(sentences: DataFrame) -> DataFrame:
+    """(``a``, ``s``, ``n``) of each term and subject: patterns of one term. sentences: ``items``, the subject last."""
+    terms = F.slice("items", F.lit(1), F.size("items") - 1)
+    return sentences.select(F.element_at("items", -1).alias("s"), F.explode(terms).alias("a")).groupBy("a", "s").agg(F.count("*").alias("n"))
+
+
+def grown_twice(sentences: DataFrame) -> DataFrame:
+    """(``a``, ``b``, ``s``, ``n``, ``total``): patterns of two terms that are frequent and mostly in one subject.
+
+    The conditional base of a term ``b`` is what stands before it, in order, in each of its sentences; a term ``a`` frequent
+    in it grows ``b`` to a pattern of two. Growth ends there, as rules have ``RULE_TERMS`` terms, so a sentence of t terms
+    costs t * t / 2 rows, however often it is repeated. Bases are counted in parallel with partial counts.
+    """
+    terms = F.slice("items", F.lit(1), F.size("items") - 1)
+    placed = sentences.select(F.element_at("items", -1).alias("s"), terms.alias("t")).select("s", "t", F.posexplode("t").alias("j", "b"))
+    base = placed.select("s", "b", F.explode(F.slice("t", F.lit(1), F.col("j"))).alias("a")).groupBy("a", "b", "s").agg(F.count("*").alias("n"))
+    grown = base.groupBy("a", "b").agg(F.max_by("s", "n").alias("s"), F.max("n").alias("n"), F.sum("n").alias("total"))
+    return grown.where((F.col("n") >= TERM_SENTENCES) & (F.col("n") >= CONFIDENCE * F.col("total")))
+
+
 def fit_rules(labelled: DataFrame) -> Rules:
     """Mine, prune and calibrate. labelled: as of ``labelled_documents``; its size is bounded, so what is gathered is too."""
     spark = labelled.sparkSession
@@ -232,17 +251,19 @@ def fit_rules(labelled: DataFrame) -> Rules:
     if not total:
         return Rules({})
     prior = {r.s: r.n for r in sentences.groupBy(F.element_at("items", -1).alias("s")).agg(F.count("*").alias("n")).collect()}
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, TERM_SENTENCES / total), minConfidence=1.0).fit(sentences)
-    marked = F.filter("items", lambda x: x.startswith(_MARK))
-    sets = model.freqItemsets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(_MARK))).alias("a"), F.get(marked, F.lit(0)).alias("s"), "freq")
-    counts = {(tuple(r.a), r.s): r.freq for r in sets.where(F.size("a").between(1, RULE_TERMS)).collect()}
+    counts: dict[tuple[tuple[str, ...], str | None], int] = {}
+    for r in grown_once(sentences).collect():
+        counts[(r.a,), r.s] = r.n
+        counts[(r.a,), None] = counts.get(((r.a,), None), 0) + r.n
+    for r in grown_twice(sentences).collect():
+        counts[(r.a, r.b), r.s], counts[(r.a, r.b), None] = r.n, r.total
 
     def confidence(a: tuple[str, ...], s: str) -> float:
         return counts.get((a, s), 0) / counts[a, None] if (a, None) in counts else 0.0
 
     rules: dict[tuple[str, ...], list[tuple[str, float]]] = defaultdict(list)
     for (a, s), n in counts.items():
-        if s is None or confidence(a, s) < CONFIDENCE:
+        if s is None or n < TERM_SENTENCES or confidence(a, s) < CONFIDENCE:
             continue
         if len(a) == 2 and max(confidence(a[:1], s), confidence(a[1:], s)) + SURER >= confidence(a, s):
             continue

@@ -1,8 +1,11 @@
 """Subjects of made-up documents with known shares."""
 
 import pickle
+import itertools
 import random
+from collections import Counter
 
+from lodeflow.llm import subjects
 from lodeflow.llm.subjects import Cutter, all_terms, fit_rules, labelled_documents, subject_areas
 
 TERMS = {"cooking": ["高汤", "葱油", "平底锅", "腌料", "skillet", "marinade"], "law": ["法庭", "违约金", "起诉状", "仲裁条款", "court", "pleading"], "sport": ["守门员", "前锋", "短跑", "接力棒", "goalkeeper", "sprint"]}
@@ -54,3 +57,22 @@ def test_cutter():
     assert found == [["平底锅"], ["night train"], ["train", "night"], ["night"]] and sizes[0] == 4
     assert cut("") == ([0], [[]])
     assert {"平底", "平底锅", "night", "night train"} <= all_terms("平底锅 night train")
+
+
+def test_patterns_against_all_subsets(spark):
+    """Patterns of one and two terms are those of all subsets; a long sentence repeated often costs its pairs only."""
+    rng = random.Random(3)
+    rows = [[*sorted(rng.sample([f"t{k}" for k in range(12)], rng.randint(1, 6))), "=" + rng.choice("xy")] for _ in range(200)]
+    rows += [[*sorted(f"u{k:02d}" for k in range(40)), "=x"]] * 10
+    df = spark.createDataFrame([(r,) for r in rows], "items array<string>")
+    one, two = Counter(), Counter()
+    for *terms, s in rows:
+        one.update((a, s) for a in terms)
+        two.update((a, b, s) for a, b in itertools.combinations(terms, 2))
+    assert {(r.a, r.s): r.n for r in subjects.grown_once(df).collect()} == one
+    want = {}
+    for (a, b, s), n in two.items():
+        total = sum(two[a, b, x] for x in ("=x", "=y"))
+        if n >= subjects.TERM_SENTENCES and n >= subjects.CONFIDENCE * total:
+            want[a, b] = (s, n, total)
+    assert {(r.a, r.b): (r.s, r.n, r.total) for r in subjects.grown_twice(df).collect()} == want
