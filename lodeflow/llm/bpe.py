@@ -2,7 +2,7 @@
 
 Tokens are ranked; BPE joins the lowest-ranked neighbours first. Every prefix of a piece has exactly one encoding, so it
 is enough to know its last token: a token that ends the prefix is the last one if the prefix before it ends in a token
-that may stand before it. Which tokens end a prefix is told by a suffix automaton over all tokens; whether two tokens may
+that may stand before it. Which tokens end a prefix, all suffixes of it that are tokens, is told by an automaton over all tokens (Aho-Corasick); whether two tokens may
 stand side by side is told by undoing their merges. Back-pointers from the end of the piece give the ids. The cost is
 linear in the length of a piece.
 """
