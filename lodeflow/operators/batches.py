@@ -25,8 +25,20 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> I
 
     Working memory then depends on the longest text, not on the number of rows in a batch.
     """
-    offsets = batch.column(column)
-    lengths = np.asarray(pc.fill_null(pc.binary_length(offsets), 0), dtype=np.int64)
+    yield from _slices(batch, _filled(pc.binary_length(batch.column(column))), limit)
+
+
+def sized_slices(batch: pa.RecordBatch, columns: list[str], limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The same for several columns of texts or of token lists: a slice has at most ``limit`` bytes and tokens in all."""
+    of = lambda c: pc.list_value_length(c) if pa.types.is_list(c.type) or pa.types.is_large_list(c.type) else pc.binary_length(c)
+    yield from _slices(batch, sum(_filled(of(batch.column(c))) for c in columns), limit)
+
+
+def _filled(lengths: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(lengths, 0), dtype=np.int64)
+
+
+def _slices(batch: pa.RecordBatch, lengths: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
     start, used = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if used and used + n > limit:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeflow.functions.text import strip
+from lodeflow.operators.batches import sized_slices
 from lodeflow.operators.chat import chat_text, drop_final_empty_assistant, lifted_tools
 from lodeflow.operators.tokenizers import Tokenizer
 
@@ -38,9 +39,11 @@ def token_pairs(pairs: DataFrame, tokenizer: Tokenizer, max_len: int | None = No
     sent = pairs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = ["prompt", "chosen", "rejected"]
         for batch in batches:
-            ids = [pa.array([sent.value.encode(x) for x in batch.column(c).to_pylist()], pa.list_(pa.int32())) for c in ("prompt", "chosen", "rejected")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *ids], ["id", "prompt", "chosen", "rejected"])
+            for part in sized_slices(batch, sides):
+                ids = [pa.array([sent.value.encode(x) for x in part.column(c).to_pylist()], pa.list_(pa.int32())) for c in sides]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *ids], ["id", *sides])
 
     kind = pairs.schema["id"].dataType.simpleString()
     found = pairs.select("id", "prompt", "chosen", "rejected").mapInArrow(run, f"id {kind}, prompt ARRAY<INT>, chosen ARRAY<INT>, rejected ARRAY<INT>")

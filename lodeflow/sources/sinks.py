@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,15 @@ def write_packed(packed: DataFrame, path: str) -> None:
     packed.write.mode("overwrite").parquet(path)
 
 
+def dense_writer(table: DataFrame, width: int, portion: int = 4_000_000) -> DataFrameWriter:
+    """A writer of rows of ``width`` numbers whose row groups hold ``portion`` numbers at most, or a single row.
+
+    Dense rows are small on disk, so that a group bounded by its bytes holds all of them; readers decode up to 4,096 rows of
+    a group at once, whatever their width.
+    """
+    return table.write.option("parquet.block.row.count.limit", max(1, portion // width))
+
+
 def padded(table: DataFrame, column: str, max_len: int, fill: int = 0) -> DataFrame:
     """A dense row of ``max_len`` numbers beside the real length."""
     n = F.size(column)
@@ -66,9 +75,10 @@ def write_shards(table: DataFrame, path: str, idx: str, world: int) -> None:
 
 def write_pairs(pairs: DataFrame, path: str, max_len: int) -> None:
     """Token pairs as dense rows padded with 0, beside their real lengths."""
-    for c in ("prompt", "chosen", "rejected"):
+    sides = ("prompt", "chosen", "rejected")
+    for c in sides:
         pairs = padded(pairs, c, max_len)
-    pairs.write.mode("overwrite").parquet(path)
+    dense_writer(pairs, max_len * len(sides)).mode("overwrite").parquet(path)
 
 
 def sample_report(records: DataFrame, metrics: DataFrame, step: int, stamp: str) -> DataFrame:

@@ -5,11 +5,14 @@ import json
 import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lodeflow.operators import packing
+from lodeflow.operators import packing, preference
+from lodeflow.operators.batches import sized_slices
 from lodeflow.operators.tokenizers import ByteTokenizer
 from lodeflow.plans import catalog
 from lodeflow.schemas import CONVERSATION
@@ -57,6 +60,26 @@ def test_sinks(spark, tmp_path):
         readers.packed_sequences(spark, str(tmp_path / "packed"), 3).collect()
 
 
+def _largest_group(path):
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    return max(m.row_group(k).num_rows for m in files for k in range(m.num_row_groups))
+
+
+def test_dense_pairs_in_bounded_row_groups(spark, tmp_path):
+    """A reader decodes a row group's dense rows together, so a group holds few of them; tokens are made by slices."""
+    flat = spark.createDataFrame([(k, "p", f"c{k}", "r" * k) for k in range(30)], "id long, prompt string, chosen string, rejected string").coalesce(1)
+    sinks.write_pairs(preference.token_pairs(flat, ByteTokenizer()), str(tmp_path / "pairs"), 200_000)
+    assert _largest_group(tmp_path / "pairs") * 3 * 200_000 <= 4_000_000
+    back = readers.token_pairs(spark, str(tmp_path / "pairs"), 200_000).orderBy("id").collect()
+    assert [(r.id, r.prompt_len, ByteTokenizer().decode(r.chosen), ByteTokenizer().decode(r.rejected)) for r in back] == [(k, 1, f"c{k}", "r" * k) for k in range(30)]
+
+
+def test_slices_by_all_columns():
+    batch = pa.RecordBatch.from_pydict({"a": ["xx", None, "xxxx", "x"], "b": [[1], [1, 2], None, [1] * 9]})
+    assert [p.num_rows for p in sized_slices(batch, ["a", "b"], 5)] == [2, 1, 1]
+    assert [p.num_rows for p in sized_slices(batch, ["b"], 3)] == [3, 1] and list(sized_slices(batch.slice(4), ["a"])) == []
+
+
 def test_stream_equals_batch(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([("text number one, long enough to pass",), (f"text number {k}, long enough to pass too",), ("short",)], "text string").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
