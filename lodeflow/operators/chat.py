@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeflow.functions.text import strip
+from lodeflow.operators.batches import text_slices
 from lodeflow.operators.tokenizers import Tokenizer
 
 THINK_ON, THINK_OFF = "<think>\n", "<think>\n\n</think>\n\n"
@@ -89,10 +90,11 @@ def labelled(table: DataFrame, tokenizer: Tokenizer, max_len: int, id_col: str =
     sent = table.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int32())
         for batch in batches:
-            found = [label_tokens(t or "", sent.value, max_len, include_end) for t in batch.column("text").to_pylist()]
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([i for i, _ in found], kind), pa.array([x for _, x in found], kind)], ["id", "ids", "labels"])
+            for part in text_slices(batch, "text", 1_000_000):
+                found = [label_tokens(t or "", sent.value, max_len, include_end) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([i for i, _ in found], kind), pa.array([x for _, x in found], kind)], ["id", "ids", "labels"])
 
     rows = table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id BIGINT, ids ARRAY<INT>, labels ARRAY<INT>")
     return rows.where(F.exists("labels", lambda x: x != IGNORED))

@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeflow.operators.batches import sized_slices
 from lodeflow.operators.order import ranks
 from lodeflow.session import materialize
 
 CHUNK = 200_000
+#: Tokens that a task holds at once: of a column in a row group, of a slice of pieces, of a vector's batch.
+PORTION = 1_000_000
 _PIECES = "shard BIGINT, id BIGINT, doc INT, seq BIGINT, start INT, size INT, eos BOOLEAN, place INT"
 
 
@@ -81,7 +84,7 @@ def pack(table: DataFrame, max_len: int, eos_id: int, pad_id: int = -1, id_col:
     come from ids and lengths alone; each document meets its pieces once, and what is cut goes to its sequence.
     """
     sources = {"ids": ids_col} | ({"labels": labels_col} if labels_col else {})
-    base = materialize(table.select(F.col(id_col).alias("id"), F.size(ids_col).alias("n"), *(F.col(c).alias(f"_{k}") for k, c in sources.items())), "tokens")
+    base = materialize(table.select(F.col(id_col).alias("id"), F.size(ids_col).alias("n"), *(F.col(c).alias(f"_{k}") for k, c in sources.items())), "tokens", max(1, PORTION // max_len))
     joined = materialize(pieces_of(base, max_len, chunk), "pieces").join(base.drop("n"), "id")
     cut = [F.slice(F.col(f"_{k}"), F.col("start") + 1, F.col("size")).cast("array<int>").alias(k) for k in sources]
     rows = joined.select("shard", "seq", "place", "doc", "eos", *cut).repartition("shard", "seq").sortWithinPartitions("shard", "seq", "place")
@@ -101,7 +104,7 @@ def _assembled(max_len: int, eos_id: int, fills: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[tuple[int, int]] = []
         vectors: dict[str, list[np.ndarray]] = {c: [] for c in fills}
-        for batch in batches:
+        for batch in (part for whole in batches for part in sized_slices(whole, [k for k in ("ids", "labels") if k in whole.schema.names], PORTION)):
             columns = {c: batch.column(c).to_pylist() for c in ("shard", "seq", "place", "doc", "eos")}
             parts = {}
             for k in ("ids", "labels"):
@@ -110,7 +113,7 @@ def _assembled(max_len: int, eos_id: int, fills: dict[str, int]):
                     parts[k] = (np.asarray(lists.flatten()), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0))))))
             for i, key in enumerate(zip(columns["shard"], columns["seq"])):
                 if not keys or keys[-1] != key:
-                    if len(keys) >= 256:
+                    if len(keys) >= max(1, PORTION // max_len):
                         yield batch_of(keys, vectors)
                         keys, vectors = [], {c: [] for c in fills}
                     keys.append(key)

@@ -190,7 +190,7 @@ def prompt_slice_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_pretrain_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed vectors written, read with the check of their length, and handed out as a trainer reads them."""
     path = _folder(spark, "packed")
-    sinks.write_packed(packing.pack(_tokens(spark, sf_dir), PRETRAIN_LEN, ByteTokenizer().eos_id), path)
+    sinks.write_packed(packing.pack(_tokens(spark, sf_dir), PRETRAIN_LEN, ByteTokenizer().eos_id), path, PRETRAIN_LEN)
     rows = packing.model_inputs(readers.packed_sequences(spark, path, PRETRAIN_LEN))
     padding = F.size(F.filter("labels", lambda x: x == chat.IGNORED))
     return _digested(rows.withColumn("padding", padding), ["document_ids"]).join(rows.select("shard", "seq", padding.alias("padding")), ["shard", "seq"]).select("seq", "document_ids", "padding")
@@ -199,7 +199,7 @@ def packed_pretrain_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SFT_PIECES + ", v AS (" + _VECTORS.format(L=SFT_LEN, more=_LABELS.format(L=SFT_LEN)) + ") SELECT seq, document_ids, labels FROM v")
 def packed_sft_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "packed-sft")
-    sinks.write_packed(_packed_sft(spark, sf_dir), path)
+    sinks.write_packed(_packed_sft(spark, sf_dir), path, SFT_LEN)
     return _digested(readers.packed_sequences(spark, path, SFT_LEN), ["document_ids", "labels"]).drop("shard")
 
 

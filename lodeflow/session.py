@@ -50,18 +50,19 @@ def work_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lodeflow-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage, survives the loss of an executor, and gives the optimizer the true size of what follows,
     so that it broadcasts a table only if it is small. What is written within ``temporaries`` is removed at its end, all
-    else by ``cleanup``.
+    else by ``cleanup``. group_rows: the most rows of a row group, for rows that are small on disk only.
     """
     spark = df.sparkSession
     path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
     for written in _OPEN:
         written.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.row.count.limit", group_rows) if group_rows else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 
-def write_packed(packed: DataFrame, path: str) -> None:
-    packed.write.mode("overwrite").parquet(path)
+def write_packed(packed: DataFrame, path: str, max_len: int = 8192) -> None:
+    """Packed vectors of ``max_len`` places."""
+    vectors = [c for c, kind in packed.dtypes if kind.startswith("array")]
+    dense_writer(packed, max_len * max(1, len(vectors))).mode("overwrite").parquet(path)
 
 
 def dense_writer(table: DataFrame, width: int, portion: int = 4_000_000) -> DataFrameWriter:

@@ -74,6 +74,20 @@ def test_dense_pairs_in_bounded_row_groups(spark, tmp_path):
     assert [(r.id, r.prompt_len, ByteTokenizer().decode(r.chosen), ByteTokenizer().decode(r.rejected)) for r in back] == [(k, 1, f"c{k}", "r" * k) for k in range(30)]
 
 
+def test_packed_vectors_in_bounded_portions(spark, tmp_path):
+    """Vectors are put together, written and read by portions that don't grow with the table."""
+    n = 8192
+    vectors = [F.array_repeat(F.col("id").cast("int"), n).alias(c) for c in ("input_ids", "document_ids", "labels")]
+    sinks.write_packed(spark.range(400).coalesce(1).select(F.lit(0).alias("shard"), F.col("id").alias("seq"), *vectors), str(tmp_path / "packed"), n)
+    assert _largest_group(tmp_path / "packed") * 3 * n <= 4_000_000
+    assert sorted(r.labels[-1] for r in readers.packed_sequences(spark, str(tmp_path / "packed"), n).select("labels").collect()) == list(range(400))
+    whole = pa.RecordBatch.from_pydict({"shard": [0] * 300, "seq": list(range(300)), "place": [0] * 300, "doc": list(range(300)), "eos": [True] * 300, "ids": pa.array([[k] * (n - 1) for k in range(300)], pa.list_(pa.int32()))})
+    out = list(packing._assembled(n, 7, {"input_ids": -1, "document_ids": -1})(iter([whole])))
+    assert max(b.num_rows for b in out) * n <= packing.PORTION
+    rows = [(q, x[0], x[-1], len(x)) for b in out for q, x in zip(b.column("seq").to_pylist(), b.column("input_ids").to_pylist())]
+    assert rows == [(k, k, 7, n) for k in range(300)]
+
+
 def test_slices_by_all_columns():
     batch = pa.RecordBatch.from_pydict({"a": ["xx", None, "xxxx", "x"], "b": [[1], [1, 2], None, [1] * 9]})
     assert [p.num_rows for p in sized_slices(batch, ["a", "b"], 5)] == [2, 1, 1]
