@@ -64,10 +64,10 @@ SELECT 0::BIGINT AS shard, seq, md5(string_agg(array_to_string(ids[start + 1 : s
 FROM pieces JOIN tok USING (doc) GROUP BY seq"""
 
 
-def _digested(packed: DataFrame, columns: list[str]) -> DataFrame:
+def _digested(packed: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """Vectors by digest; documents with a comma in front."""
     joined = {"document_ids": F.concat(F.lit(","), F.array_join("document_ids", ","))}
-    return packed.select("shard", "seq", *(F.md5(joined.get(c, F.array_join(c, ","))).alias(c) for c in columns))
+    return packed.select(*(keys or ["shard", "seq"]), *(F.md5(joined.get(c, F.array_join(c, ","))).alias(c) for c in columns))
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

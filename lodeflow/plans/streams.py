@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeflow.operators import dedup
+from lodeflow.operators.packing import PORTION
 from lodeflow.operators.tokenizers import ByteTokenizer
 from lodeflow.plans.corpus import _BYTES, _SIGNED, _VECTORS, PRETRAIN_LEN, _digested, _packing_sql
 from lodeflow.plans.registry import _GATED, query, t
@@ -88,9 +89,11 @@ def streamed_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     for arrive in arrivals:
         arrive()
     packed = incremental.packed_stream(incremental.clean_stream(_stream(spark, path, schema)), ByteTokenizer(), PRETRAIN_LEN)
-    found = incremental.run_available(packed, "packing", output="update")
-    last = found.groupBy(F.col("lane").alias("shard"), "seq").agg(F.max_by(F.struct("input_ids", "document_ids"), F.struct("batch", "closed")).alias("v"))
-    return _digested(last.select("shard", "seq", "v.*"), ["input_ids", "document_ids"])
+    found = incremental.run_available(packed, "packing", output="update", group_rows=PORTION // PRETRAIN_LEN, arrow_rows=500)
+    vectors = ["input_ids", "document_ids"]
+    said = _digested(found.withColumnRenamed("lane", "shard"), vectors, ["shard", "seq", "batch", "closed"])
+    last = said.groupBy("shard", "seq").agg(F.max_by(F.struct(*vectors), F.struct("batch", "closed")).alias("v"))
+    return last.select("shard", "seq", "v.*")
 
 
 @query(_SIGNED + f"""

@@ -88,6 +88,14 @@ def test_packed_vectors_in_bounded_portions(spark, tmp_path):
     assert rows == [(k, k, 7, n) for k in range(300)]
 
 
+def test_lane_spills_sorted_runs():
+    """A lane takes a batch's texts from sorted runs and holds one of them, not all texts."""
+    rows = [((k * 37) % 101, f"{k}" * 9) for k in range(101)]
+    for limit in (1, 50, 10**9):
+        assert list(incremental._by_id(iter(rows), limit)) == sorted(rows)
+    assert list(incremental._by_id(iter([]))) == []
+
+
 def test_slices_by_all_columns():
     batch = pa.RecordBatch.from_pydict({"a": ["xx", None, "xxxx", "x"], "b": [[1], [1, 2], None, [1] * 9]})
     assert [p.num_rows for p in sized_slices(batch, ["a", "b"], 5)] == [2, 1, 1]
